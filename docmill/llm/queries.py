@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.text import SPACE, TOKEN
-from docmill.llm import splitting
+from docmill.llm import neardup, splitting
 from docmill.sources.tables import table
 
 SECTION_LIMIT, CHUNK_LIMIT, CHUNK_TOKENS, OVERLAP = 1200, 1200, 900, 120
@@ -40,7 +40,23 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionAll(b).dropDuplicates(["kind", "item_id", "piece_no"])
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces}
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies to compare: of all chunks, and of the hits within each question."""
+    chunks = table(spark, sf_dir, "chunks").select(
+        F.lit("chunk").alias("kind"), F.lit("").alias("scope"), F.col("chunk_id").alias("item_id"), "body"
+    )
+    hits = table(spark, sf_dir, "hits").select(
+        F.lit("hit").alias("kind"), F.col("query_id").alias("scope"), F.col("hit_id").alias("item_id"), F.col("source")["body"].alias("body")
+    )
+    return chunks.unionAll(hits)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks anywhere, and of hits of one question, with nearly the same body."""
+    return neardup.similar_rows(_bodies(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces}
 
 ORACLES = {
     "p2_found": f"""
