@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.functions.text import SPACE, TOKEN
-from docmill.llm import neardup, splitting
-from docmill.sources.tables import table
+from docmill.functions.text import TOKEN, strip_spaces
+from docmill.llm import neardup, packing, splitting, tokenizing
+from docmill.sources.tables import materialize, table
 
 SECTION_LIMIT, CHUNK_LIMIT, CHUNK_TOKENS, OVERLAP = 1200, 1200, 900, 120
 
@@ -56,7 +56,30 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_rows(_bodies(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokenizing.encode_column(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the containers of each capacity; copies and one source are kept apart where that costs no space."""
+    text = F.lower(strip_spaces(F.col("text")))
+    documents = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("item_id"), "source", F.when(F.length(text) > 0, F.xxhash64(text)).alias("cluster"), "text"
+    )
+    sized = materialize(tokenizing.count_column(documents, "text", ["item_id", "source", "cluster"], out="size"), "sized")
+    # a fixed table of a few rows
+    capacities = {r["name"]: r["capacity"] for r in table(spark, sf_dir, "containers").collect()}
+    return packing.pack(sized, capacities).withColumnRenamed("item_id", "doc_id").withColumnRenamed("size", "tokens")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p6_ids": p6_ids,
+    "p7_packed": p7_packed,
+}
 
 ORACLES = {
     "p2_found": f"""
