@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.text import TOKEN, strip_spaces
-from docmill.llm import neardup, packing, splitting, tokenizing
+from docmill.llm import neardup, neighbours, packing, splitting, tokenizing
 from docmill.sources.tables import materialize, table
 
 SECTION_LIMIT, CHUNK_LIMIT, CHUNK_TOKENS, OVERLAP = 1200, 1200, 900, 120
+DIM = 48
 
 
 def _split_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -56,6 +57,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_rows(_bodies(spark, sf_dir))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), F.col("embedding").alias("vector"))
+    cards = table(spark, sf_dir, "doc_cards").select(F.lit("card").alias("kind"), F.col("doc_id").alias("key"), F.col("embedding").alias("vector"))
+    return chunks.unionAll(cards)
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar vectors of every chunk and card, with their cosine."""
+    return neighbours.similar_vectors(_embeddings(spark, sf_dir), DIM, 5)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which one is among the five most similar to the other."""
+    return (
+        p5_neighbours(spark, sf_dir)
+        .select("kind", F.least("key", "other").alias("id_a"), F.greatest("key", "other").alias("id_b"))
+        .distinct()
+    )
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizing.encode_column(table(spark, sf_dir, "documents"), "text", ["doc_id"])
@@ -77,6 +98,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
 }
