@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.text import TOKEN, strip_spaces
-from docmill.llm import neardup, neighbours, packing, splitting, tokenizing
+from docmill.llm import lookalike, neardup, neighbours, packing, splitting, tokenizing
 from docmill.sources.tables import materialize, table
 
 SECTION_LIMIT, CHUNK_LIMIT, CHUNK_TOKENS, OVERLAP = 1200, 1200, 900, 120
@@ -57,6 +57,41 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_rows(_bodies(spark, sf_dir))
 
 
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to compare by look: kind, scope, key, text. The body of a chunk is there for its quotes."""
+    blocks = table(spark, sf_dir, "blocks").select(F.lit("block").alias("kind"), F.col("doc_id").alias("scope"), F.col("block_id").alias("key"), "text")
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("kind"), F.lit("").alias("scope"), F.col("chunk_id").alias("key"), "text")
+    quotes = table(spark, sf_dir, "quotes").select(F.lit("quote").alias("kind"), F.col("chunk_id").alias("scope"), F.col("quote_id").alias("key"), F.col("quote").alias("text"))
+    return blocks.unionAll(chunks).unionAll(quotes)
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one form of every block, chunk and quote, repeated rows once."""
+    shown = _shown(spark, sf_dir)
+    pairs = lookalike.pair_counts(shown, "text")
+    return lookalike.add_form(shown, "text", pairs).select("kind", "key", "form").distinct()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that look the same but are stored differently."""
+    shown = _shown(spark, sf_dir)
+    pairs = lookalike.pair_counts(shown, "text")
+    found = [
+        lookalike.same_look(lookalike.add_form(shown.where(F.col("kind") == k), "text", pairs), "scope", "key", "text").select(F.lit(k).alias("kind"), "key_a", "key_b")
+        for k in ("block", "chunk")
+    ]
+    quotes = lookalike.add_form(table(spark, sf_dir, "quotes").select("quote_id", "chunk_id", "quote").distinct(), "quote", pairs).where(F.length("form") > 0)
+    quoted = table(spark, sf_dir, "chunks").select("chunk_id", "body").join(quotes.select("chunk_id").distinct(), "chunk_id", "left_semi").distinct()
+    bodies = lookalike.add_form(quoted, "body", pairs, "body_form")
+    passages = (
+        quotes.join(bodies, "chunk_id")
+        .where(F.col("body_form").contains(F.col("form")) & ~F.col("body").contains(F.col("quote")))
+        .select(F.lit("quote").alias("kind"), F.col("quote_id").alias("key_a"), F.col("chunk_id").alias("key_b"))
+        .distinct()
+    )
+    return found[0].unionAll(found[1]).unionAll(passages)
+
+
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), F.col("embedding").alias("vector"))
     cards = table(spark, sf_dir, "doc_cards").select(F.lit("card").alias("kind"), F.col("doc_id").alias("key"), F.col("embedding").alias("vector"))
@@ -98,6 +133,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_forms": p3_forms,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p6_ids": p6_ids,
