@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.text import TOKEN, strip_spaces
-from docmill.llm import lookalike, neardup, neighbours, packing, splitting, tokenizing
+from docmill.llm import language, lookalike, neardup, neighbours, packing, splitting, tokenizing
 from docmill.sources.tables import materialize, table
 
 SECTION_LIMIT, CHUNK_LIMIT, CHUNK_TOKENS, OVERLAP = 1200, 1200, 900, 120
@@ -92,6 +92,42 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionAll(found[1]).unionAll(passages)
 
 
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every card, chunk and line in another language, with the stored label.
+
+    kind, item_id, line_no (0 for cards and chunks), label (null if missing), language, confidence.
+    """
+    chunks = table(spark, sf_dir, "chunks")
+    model = language.train(chunks, "chunk_id", "text", "language")
+    rows = chunks.withColumn("label", language.clean_label(F.col("language")))
+    judged = materialize(language.detect(rows, ["chunk_id", "doc_id", "label"], "text", model).where("lang is not null"), "judged")
+    counts = judged.select("doc_id", "chunk_id", "lang").distinct().groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
+    right = language.mixed_or_top(counts, "doc_id")
+    cards = table(spark, sf_dir, "doc_cards").select("doc_id", language.clean_label(F.col("language")).alias("label")).distinct()
+    none = F.lit(0)
+    return (
+        judged.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("item_id"), none.alias("line_no"), "label", "lang", "confidence")
+        .unionAll(
+            judged.select(F.lit("segment"), "chunk_id", F.inline("others")).select(
+                F.lit("segment").alias("kind"), "chunk_id", "line_no", F.lit(None).cast("string").alias("label"), "lang", "confidence"
+            )
+        )
+        .unionAll(cards.join(right, "doc_id").select(F.lit("card"), "doc_id", none, "label", "lang", "confidence"))
+        .withColumnRenamed("lang", "language")
+        .dropDuplicates(["kind", "item_id", "line_no", "label"])
+    )
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards and chunks whose label is missing or wrong, and lines in another language than their text, with the right one."""
+    return (
+        p4_languages(spark, sf_dir)
+        .where(~F.col("label").eqNullSafe(F.col("language")))
+        .select("kind", "item_id", "line_no", "language")
+        .distinct()
+    )
+
+
 def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), F.col("embedding").alias("vector"))
     cards = table(spark, sf_dir, "doc_cards").select(F.lit("card").alias("kind"), F.col("doc_id").alias("key"), F.col("embedding").alias("vector"))
@@ -135,6 +171,8 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p4_found": p4_found,
+    "p4_languages": p4_languages,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p6_ids": p6_ids,
