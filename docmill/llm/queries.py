@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions.text import TOKEN, strip_spaces
-from docmill.llm import language, lookalike, neardup, neighbours, packing, splitting, tokenizing
+from docmill.llm import language, lookalike, neardup, neighbours, packing, splitting, stuffing, tokenizing
 from docmill.sources.tables import materialize, table
 
 SECTION_LIMIT, CHUNK_LIMIT, CHUNK_TOKENS, OVERLAP = 1200, 1200, 900, 120
@@ -165,6 +165,16 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sized, capacities).withColumnRenamed("item_id", "doc_id").withColumnRenamed("size", "tokens")
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document is keywords, links or tags."""
+    return stuffing.stuffed_share(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are stuffed by more than half."""
+    return p8_shares(spark, sf_dir).where(F.col("share") > stuffing.CASE).select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -177,6 +187,8 @@ QUERIES = {
     "p5_neighbours": p5_neighbours,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
 }
 
 ORACLES = {
