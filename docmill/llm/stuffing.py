@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 #: Letters that are compared, groups of letters and terms that count as recurring, for scripts without and with spaces.
 WIDE, WIDE_LAGS, NARROW, NARROW_LAGS, TERM_LAGS = 3, 20, 5, 40, 10
+#: Pairs of letters of scripts without spaces count at the shortest gaps.
+PAIR_LAGS = 8
 #: Length of a segment at most; share of recurring letters of a regular one; share of the text that makes a case.
-SEGMENT, REGULAR, CASE = 240, 0.4, 0.5
+SEGMENT, REGULAR, CASE = 240, 0.45, 0.5
 #: A promotion term stands in regular segments this often, in so many texts, and is this share of all regular segments' texts at least.
-PROMO, PROMO_TEXTS, PROMO_SHARE = 0.8, 3, 0.005
+PROMO, PROMO_TEXTS, PROMO_SHARE = 0.8, 5, 0.004
 #: Terms of a list that are promotion, at least; words of sentences (a term's place outside regular segments in this share of texts), at most.
 LIST_PROMO, LIST_WORDS, WORD_SHARE = 0.12, 0.12, 0.04
 #: Letters handled at once.
@@ -92,7 +94,7 @@ class Page:
         at = np.flatnonzero(letter)
         x, xt, xs = code[at], text[at], seg[at]
         hit = np.zeros(len(x), dtype=bool)
-        for wide, group, lags in ((True, WIDE, WIDE_LAGS), (False, NARROW, NARROW_LAGS)):
+        for wide, group, lags in ((True, WIDE, WIDE_LAGS), (True, 2, PAIR_LAGS), (False, NARROW, NARROW_LAGS)):
             own = np.flatnonzero((x >= 0x1100) == wide)
             hit[own[_near(x[own], xt[own], group, lags)]] = True
         # terms: runs of letters; their hash is a sum over the run
@@ -101,20 +103,27 @@ class Page:
         head = np.flatnonzero(new)
         length = np.diff(np.append(head, len(at)))
         place = np.arange(len(at)) - np.repeat(head, length)
+        # parts of codes and amounts (KP-4185, 30mm) are no terms
+        digit = np.concatenate([(code >= 48) & (code <= 57), [False] * 3])
+        after = at[head + length - 1] + 1 if len(head) else head
+        dash = np.concatenate([code == 45, [False] * 3])
+        plain = ~(digit[after] | (dash[after] & digit[after + 1]) | digit[at[head] - 1])
         part = (x.astype(np.uint64) + np.uint64(7)) * (place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15))
         part ^= part >> np.uint64(29)
         part *= np.uint64(0xBF58476D1CE4E5B9)
         self.term = np.add.reduceat(part, head).view(np.int64) if len(head) else np.zeros(0, dtype=np.int64)
-        self.term_seg, self.term_text = xs[head], xt[head]
-        long = length >= 2
-        again = np.zeros(len(head), dtype=bool)
+        self.term, self.term_seg, self.term_text = self.term[plain], xs[head][plain], xt[head][plain]
+        long = length[plain] >= 2
+        again = np.zeros(len(self.term), dtype=bool)
         for lag in range(1, TERM_LAGS + 1):
-            if lag >= len(head):
+            if lag >= len(self.term):
                 break
             e = (self.term[lag:] == self.term[:-lag]) & (self.term_text[lag:] == self.term_text[:-lag]) & long[lag:]
             again[lag:] |= e
             again[:-lag] |= e
-        hit |= np.repeat(again, length)
+        spread = np.zeros(len(head), dtype=bool)
+        spread[plain] = again
+        hit |= np.repeat(spread, length)
         letters = np.bincount(xs, minlength=self.count)
         self.regular = (np.bincount(xs, weights=hit, minlength=self.count) >= REGULAR * letters) & (letters >= 6)
         self.letters = letters
@@ -171,7 +180,7 @@ def term_counts(df: DataFrame, text: str) -> DataFrame:
 def word_lists(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of promotion terms and of words of sentences.
 
-    Both are shares of the texts, so the lists are of bounded size (a share of 0.005 can be reached by 200 times the terms of a text), however large the corpus.
+    Both are shares of the texts, so the lists are of bounded size (a share of 0.004 can be reached by 250 times the terms of a text), however large the corpus.
     """
     counts = counts.cache()
     most = counts.agg(F.max("texts_in").alias("i"), F.max("texts_out").alias("o")).first()
