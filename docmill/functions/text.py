@@ -21,3 +21,162 @@ def token_count(text: Column) -> Column:
 def strip_spaces(text: Column) -> Column:
     """The text without any Unicode white space."""
     return F.regexp_replace(text, f"[{SPACE}]+", "")
+
+
+def without_spaces_lower(text: Column) -> Column:
+    """Key under which running heads are compared."""
+    return F.lower(strip_spaces(text))
+
+
+def slugify(stem: Column) -> Column:
+    """A file's name as an id: lower case, other than letters and digits to single hyphens, 60 characters at most; null if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(stem), "[^a-z0-9가-힣]+", "-"), "^-+|-+$", "")
+    return F.when(bare != "", F.substring(bare, 1, 60))
+
+
+def file_stem(name: Column) -> Column:
+    """A name without its extension of up to four letters."""
+    return F.regexp_replace(name, r"\.[A-Za-z]{1,4}$", "")
+
+
+def undouble(text: Column, digits: bool = True) -> Column:
+    """Characters that a damaged font layer printed twice, once."""
+    return F.regexp_replace(text, r"([\p{L}\p{N}])\1" if digits else r"(\p{L})\1", "$1")
+
+
+def char_grams(text: Column, n: int = 3) -> Column:
+    """Distinct n-character pieces of a text without white space; an empty array for a shorter one, null for null."""
+    bare = strip_spaces(text)
+    pieces = F.transform(F.sequence(F.lit(1), F.length(bare) - (n - 1)), lambda i: F.substring(bare, i, F.lit(n)))
+    return F.when(F.length(bare) >= n, F.array_distinct(pieces)).when(bare.isNotNull(), F.array().cast("array<string>"))
+
+
+def gram_overlap(query: Column, text: Column) -> Column:
+    """Share of the query's pieces that the text has; 0 without any."""
+    q = char_grams(query)
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, F.coalesce(char_grams(text), F.array().cast("array<string>")))) / F.size(q)).otherwise(0.0)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays without repeats; 0 if one is empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
+
+
+def count_of(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
+
+
+def detect_language(text: Column) -> Column:
+    """ko if there is any Hangul, else en if there is any Latin letter, else ko."""
+    return F.when(text.rlike("[가-힣]"), "ko").when(text.rlike("[A-Za-z]"), "en").otherwise("ko")
+
+
+def script_of(text: Column) -> Column:
+    """cjk, han (Hangul), latin or other, by counts of letters."""
+    han, cjk = count_of(text, "[가-힣]"), count_of(text, "[一-鿿]")
+    return F.when((cjk > han) & (cjk > 3), "cjk").when(han > 0, "han").when(count_of(text, "[A-Za-z]") > 0, "latin").otherwise("other")
+
+
+def source_language(text: Column) -> Column:
+    """ko, en or mixed, by the ratio of Hangul to Latin letters."""
+    ko, en = count_of(text, "[가-힣]"), count_of(text, "[A-Za-z]")
+    return (
+        F.when(ko == 0, F.when(en > 0, "en").otherwise("mixed"))
+        .when((en == 0) | (ko >= en * 0.2), "ko")
+        .when(en >= ko * 5, "en")
+        .otherwise("mixed")
+    )
+
+
+CITE = r"\[cite:\s*[\d,\s]+\]"
+
+
+def language_matches(text: Column, language: Column) -> Column:
+    """Whether an answer is in the language asked for; Han characters never are."""
+    clean = F.regexp_replace(text, CITE, "")
+    ko, en = count_of(clean, "[가-힣]"), count_of(clean, "[A-Za-z]")
+    fits = F.when(language == "ko", (ko >= 3) & (ko >= en * 0.2)).when(language == "en", (en >= 3) & (en >= ko)).otherwise(True)
+    return fits & ~clean.rlike("[一-鿿]")
+
+
+def estimated_tokens(length: Column) -> Column:
+    return F.ceil(length / 1.6).cast("long")
+
+
+#: Words in a file's name that tell its type, in order of precedence.
+TYPE_HINTS = (
+    ("manual", ("manual", "매뉴얼")),
+    ("guide", ("입찰", "안내서")),
+    ("paper", ("survey", "논문", "paper")),
+    ("policy", ("취업규칙", "사규")),
+    ("law", ("법", "시행령", "별표")),
+    ("certificate", ("수료증", "certificate")),
+    ("budget", ("예산", "budget")),
+)
+TYPES = ("manual", "policy", "law", "guide", "paper", "certificate", "budget", "other")
+
+
+def document_type(generated: Column, source: Column) -> Column:
+    """The first hint in the file's name, else the generated type if it is a known one, else other."""
+    low = F.lower(source)
+    out = None
+    for kind, words in TYPE_HINTS:
+        has = low.rlike("|".join(words))
+        out = F.when(has, kind) if out is None else out.when(has, kind)
+    value = F.lower(F.coalesce(generated, F.lit("other")))
+    return out.otherwise(F.when(value.isin(*TYPES), value).otherwise("other"))
+
+
+#: Words of a question about several documents.
+COMPARISON = ("비교", "차이", "각각", "공통", "서로", r"두\s*(?:문서|파일)", r"여러\s*(?:문서|파일)", "compare", "difference", "both", r"each\s+(?:document|file)")
+
+
+def is_comparison(question: Column) -> Column:
+    """Whether a question asks about several documents."""
+    return F.lower(question).rlike("|".join(COMPARISON))
+
+
+def terms(text: Column) -> Column:
+    """Search terms, repeated ones too: runs of Latin letters, of digits and of Hangul, in lower case; the default analyzer."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+|[0-9]+|[가-힣]+"), F.lit(0))
+
+
+def normalize_citations(text: Column) -> Column:
+    """[1, 2] as [cite:1, 2]."""
+    return F.regexp_replace(text, r"\[(\d+(?:\s*,\s*\d+)*)\]", "[cite:$1]")
+
+
+def cited_numbers(text: Column) -> Column:
+    """Distinct numbers in citations, ascending."""
+    marks = F.regexp_extract_all(text, F.lit(CITE), F.lit(0))
+    numbers = F.flatten(F.transform(marks, lambda m: F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0))))
+    return F.array_sort(F.array_distinct(F.transform(numbers, lambda n: n.cast("int"))))
+
+
+def keep_known(text: Column, most: int) -> Column:
+    """Citations with the numbers 1 to ``most`` alone; a citation without any goes. Parts between citations stay as they are."""
+    parts = F.split(text, r"(?=\[cite:)|(?<=\])")
+
+    def fixed(p: Column) -> Column:
+        known = F.filter(F.regexp_extract_all(p, F.lit(r"\d+"), F.lit(0)), lambda n: F.try_to_number(n, F.lit("999999999")).between(1, most))
+        return F.when(p.rlike(f"^{CITE}$"), F.when(F.size(known) > 0, F.concat(F.lit("[cite:"), F.array_join(known, ","), F.lit("]"))).otherwise("")).otherwise(p)
+
+    return F.array_join(F.transform(parts, fixed), "")
+
+
+def claims_cited(text: Column) -> Column:
+    """Whether every sentence has a citation; false for a text without any."""
+    attached = F.regexp_replace(text, r"([.!?。])\s*(\[cite:[^\]]+\])", "$1$2")
+    claims = F.filter(F.split(attached, r"(?<=\])\s+|(?<=[.!?。])\s+|\n+"), lambda c: F.trim(c) != "")
+    return (F.size(claims) > 0) & F.forall(claims, lambda c: c.rlike(CITE))
+
+
+def ndcg(gains: Column, n_relevant: Column, k: int) -> Column:
+    """Of an array of gains in rank order; the ideal is min(n_relevant, k) ones."""
+    dcg = F.aggregate(
+        F.transform(F.slice(gains, 1, k), lambda g, i: g / (F.log2(i + F.lit(2.0)))), F.lit(0.0), lambda a, x: a + x
+    )
+    most = F.least(n_relevant, F.lit(k)).cast("int")
+    ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: 1.0 / F.log2(i + F.lit(1.0))), F.lit(0.0), lambda a, x: a + x)
+    return F.when(n_relevant > 0, dcg / ideal).otherwise(0.0)

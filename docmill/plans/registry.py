@@ -1,4 +1,6 @@
 """All core queries by name."""
 
-QUERIES = {}
-ORACLES = {}
+from docmill.plans import layout_queries
+
+QUERIES = dict(layout_queries.QUERIES)
+ORACLES = dict(layout_queries.ORACLES)
