@@ -7,13 +7,13 @@ is decoded to the Golay codewords nearby (one or six), and each of their
 indices, with two whole min-hashes of the text as anchors, becomes a key. The errors of a pair spread over
 the segments, so some segment has few (pigeonhole), and there the pair meets in a key: at
 similarity 0.7 a segment's keys meet with probability 0.61 and the anchors with 0.49, hence a
-pair is missed with probability 0.7**20 < 0.001, above 0.75 with less than 0.0001.
+pair at exactly 0.7 is missed with probability 0.7**14 < 0.01, at 0.75 with 0.0005, at 0.8 with 0.00001.
 
-Meeting pairs are filtered on the fly by set size and a 112-bit sketch that travels with the keys,
-and the rest is verified exactly on the texts. Exact copies are one class throughout
-and are expanded only in the result that asks for pairs of rows.
+Meeting pairs are filtered on the fly by set size and a 240-bit sketch that travels with the keys,
+and the rest is verified exactly on the texts. Exact copies become one text first (with partial aggregation, so
+a text that a third of all rows share is no hot key) and are expanded only in the result that asks for pairs of rows.
 
-Plan: one numpy pass over the texts (linear), one shuffle of the keys, one join; no group
+Plan: one numpy pass over the distinct texts (linear), one shuffle of the keys, one join; no group
 is ever collected, and skewed keys are left to the adaptive skew join.
 """
 
@@ -30,13 +30,14 @@ from docmill.llm import golay
 from docmill.sources.tables import materialize
 
 #: Segments of the fingerprint, characters per piece, and the similarity that counts.
-SEGMENTS, GRAM, THRESHOLD = 20, 3, 0.7
+SEGMENTS, GRAM, THRESHOLD = 14, 3, 0.7
 #: Sketch: bits kept beside the 16 bits of the set's size, and the most that may differ.
-#: At similarity 0.7 they differ in 16.8 +- 3.8 places; 38 is 5.6 deviations away.
-SKETCH_BITS, SKETCH_MOST = 112, 38
+#: At similarity 0.7 they differ in 36 +- 5.5 places; 55 is 3.4 deviations away (three pairs in 10,000 at just 0.7).
+SKETCH_BITS, SKETCH_MOST = 240, 55
+_LONGS = ("s1", "s2", "s3", "s4")
 SIZE_MOST = 65535
 #: Characters handled at once inside a task.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(20310607))
 _MUL = _RNG.integers(1, 1 << 63, (SEGMENTS, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,12 +98,14 @@ def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return words, anchors
 
 
-def _sketches(words: np.ndarray, size: np.ndarray, scope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two longs: 64 bits, and 48 bits above the size. The scope is mixed into the first by xor, which keeps distances."""
-    bits = ((words[:, :5, None] >> np.arange(golay.BITS)) & 1).reshape(len(words), -1)[:, :SKETCH_BITS].astype(np.uint64)
-    one = (bits[:, :64] << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
-    two = (bits[:, 64:] << np.arange(16, 64, dtype=np.uint64)).sum(1, dtype=np.uint64)
-    return (one ^ scope).view(np.int64), (two | np.minimum(size, SIZE_MOST).astype(np.uint64)).view(np.int64)
+def _sketches(words: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Four longs: three of 64 bits of the fingerprint, and 48 bits above the size."""
+    segments = -(-SKETCH_BITS // golay.BITS)
+    bits = ((words[:, :segments, None] >> np.arange(golay.BITS)) & 1).reshape(len(words), -1)[:, :SKETCH_BITS].astype(np.uint64)
+    shift = np.arange(64, dtype=np.uint64)
+    whole = [(bits[:, i : i + 64] << shift).sum(1, dtype=np.uint64) for i in range(0, 192, 64)]
+    last = (bits[:, 192:] << shift[16:]).sum(1, dtype=np.uint64) | np.minimum(size, SIZE_MOST).astype(np.uint64)
+    return [x.view(np.int64) for x in (*whole, last)]
 
 
 def _slices(lengths: np.ndarray) -> Iterator[slice]:
@@ -128,101 +131,92 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [sets[i] for i in keep]
             scope = scopes[part][keep]
             words, anchors = fingerprints(sets)
-            one, two = _sketches(words, np.array([len(s) for s in sets]), scope)
             index, used = golay.codeword_keys(words)
             keys = _mix(anchors[:, :, None] ^ (index.astype(np.uint64) << np.uint64(8) | np.arange(SEGMENTS, dtype=np.uint64)[None, :, None]), _MUL[0, 0])
             keys = _mix(keys ^ scope[:, None, None], _MUL[1, 0]).view(np.int64)
             ends = np.concatenate([[0], np.cumsum(used.sum((1, 2)))]).astype(np.int32)
-            rows = batch.slice(part.start, part.stop - part.start).take(pa.array(keep))
+            tid = batch.column("tid").slice(part.start, part.stop - part.start).take(pa.array(keep))
+            sketch = _sketches(words, np.array([len(s) for s in sets]))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("kind"), rows.column("scope"), rows.column("item_id"), pa.array(one), pa.array(two), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[used]))],
-                names=["kind", "scope", "item_id", "s1", "s2", "keys"],
+                [tid, *map(pa.array, sketch), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[used]))],
+                names=["tid", *_LONGS, "keys"],
             )
 
 
-def _bits_apart(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
-    return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(F.shiftright(a2.bitwiseXOR(b2), 16))
+def candidate_pairs(signed: DataFrame) -> DataFrame:
+    """Pairs of texts (tid_a < tid_b) that share a key and pass size and sketch, each once."""
+    keys = signed.select(F.explode("keys").alias("key"), "tid", *_LONGS)
+    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("tid", *_LONGS))) for x in "ab")
+    size_a, size_b = (F.col(f"s4_{x}").bitwiseAND(SIZE_MOST) for x in "ab")
 
+    def apart(c: str) -> Column:
+        return F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """Pairs of sketches that share a key and pass size and sketch, each once; a sketch with itself if several rows have it."""
-    keys = signed.select(F.explode("keys").alias("key"), "s1", "s2").distinct()
-    a, b = (keys.select("key", F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2")) for x in "ab")
-    size_a, size_b = F.col("a2").bitwiseAND(SIZE_MOST), F.col("b2").bitwiseAND(SIZE_MOST)
-    near = (
+    return (
         a.join(b, "key")
-        .where((F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2"))))
+        .where(F.col("tid_a") < F.col("tid_b"))
+        .where(F.bit_count(apart("s1")) + F.bit_count(apart("s2")) + F.bit_count(apart("s3")) + F.bit_count(F.shiftright(apart("s4"), 16)) <= SKETCH_MOST)
         .where((F.least(size_a, size_b) >= THRESHOLD * F.greatest(size_a, size_b)) | (F.greatest(size_a, size_b) == SIZE_MOST))
-        .where(_bits_apart(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2")) <= SKETCH_MOST)
-        .select("a1", "a2", "b1", "b2")
+        .select("tid_a", "tid_b")
         .distinct()
     )
-    same = signed.groupBy("s1", "s2").count().where("count > 1").selectExpr("s1 a1", "s2 a2", "s1 b1", "s2 b2")
-    return near.unionAll(same)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for i, (x, y, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tid_a", "tid_b", "text_a", "text_b")))):
-            if x == y or similarity(*gram_sets([a, b])) >= THRESHOLD - 1e-12:
-                keep.append(i)
+        a, b = (gram_sets(batch.column(c).to_pylist()) for c in ("text_a", "text_b"))
+        keep = [i for i, (x, y) in enumerate(zip(a, b)) if similarity(x, y) >= THRESHOLD - 1e-12]
         yield batch.select(["tid_a", "tid_b"]).take(pa.array(keep, type=pa.int64()))
 
 
+def _named(items: DataFrame) -> DataFrame:
+    """Rows that can have a partner, with two hashes (128 bits) and the length of body, kind and scope."""
+    whole = ("kind", "scope", "body")
+    return (
+        items.select("kind", "scope", "item_id", "body")
+        .where("body is not null and length(body) >= 3 and scope is not null")
+        .withColumns({"h1": F.xxhash64(*whole), "h2": F.xxhash64(F.length("body"), F.reverse("body"), "kind", "scope")})
+    )
+
+
 def similar_texts(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate texts of a table (kind, scope, item_id, body).
 
     Rows are compared within one kind and scope. Returns (members, pairs): members has
-    every row that can have a partner as (tid, kind, item_id), where tid names its text, white space removed,
-    within its kind and scope; pairs has (tid_a, tid_b) with similarity at least 0.7,
-    each once, and (tid, tid) for a text that several rows may have. Null and short texts
-    are similar to none. A repeated row changes nothing.
+    every comparable row, repeated ones too, as (tid, kind, item_id), where tid names its distinct body within kind and scope;
+    pairs has (tid_a, tid_b), tid_a < tid_b, with similarity at least 0.7, each once. Rows with a null body, a body
+    under three characters or a null scope are similar to none. A repeated row changes nothing; other
+    columns are ignored.
     """
-    items = items.select("kind", "scope", "item_id", "body")
-    scope_hash = F.xxhash64("kind", "scope")
-    signed = materialize(
-        items.withColumn("scope_hash", scope_hash).mapInArrow(
-            _sign, "kind string, scope string, item_id string, s1 long, s2 long, keys array<long>"
-        ),
-        "signed",
-    )
-    found = materialize(candidate_pairs(signed), "near")
-    wanted = found.selectExpr("a1 s1", "a2 s2").unionAll(found.selectExpr("b1 s1", "b2 s2")).distinct()
-    rows = signed.drop("keys").distinct().join(wanted, ["s1", "s2"], "left_semi")
-    bare = F.md5(F.concat_ws("\x00", "kind", F.coalesce("scope", F.lit("")), F.regexp_replace("body", _space_class(), "")))
+    rows = _named(items)
     texts = materialize(
-        rows.join(items.dropDuplicates(["kind", "item_id", "scope"]), ["kind", "scope", "item_id"]).withColumn("tid", bare), "texts"
+        rows.select("h1", "h2", "kind", "scope", "body").distinct().withColumn("tid", F.monotonically_increasing_id()), "texts"
+    )
+    signed = texts.select("tid", "body", F.xxhash64("kind", "scope").alias("scope_hash")).mapInArrow(
+        _sign, "tid long, s1 long, s2 long, s3 long, s4 long, keys array<long>"
     )
-    members = texts.select("tid", "kind", "item_id").distinct()
-    per_text = texts.groupBy("s1", "s2", "tid").agg(F.first("body").alias("text"))
-    a, b = (per_text.toDF(f"{x}1", f"{x}2", f"tid_{x}", f"text_{x}") for x in "ab")
+    found = materialize(candidate_pairs(signed), "near")
+    bodies = texts.select("tid", "body")
     pairs = (
-        found.join(a, ["a1", "a2"])
-        .join(b, ["b1", "b2"])
-        .where((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2")) | (F.col("tid_a") <= F.col("tid_b")))
-        .mapInArrow(_verify, "tid_a string, tid_b string")
-        .select(F.least("tid_a", "tid_b").alias("tid_a"), F.greatest("tid_a", "tid_b").alias("tid_b"))
-        .distinct()
+        found.join(bodies.toDF("tid_a", "text_a"), "tid_a")
+        .join(bodies.toDF("tid_b", "text_b"), "tid_b")
+        .mapInArrow(_verify, "tid_a long, tid_b long")
     )
-    return members, pairs
-
-
-def _space_class() -> str:
-    from docmill.functions.text import SPACE
-
-    return f"[{SPACE}]+"
+    members = rows.select("h1", "h2", "kind", "item_id").join(texts.select("h1", "h2", "tid"), ["h1", "h2"])
+    return members.select("tid", "kind", "item_id"), pairs
 
 
 def similar_rows(items: DataFrame) -> DataFrame:
-    """All pairs of rows (kind, id_a, id_b), smaller id first, whose texts are near-duplicates."""
+    """All pairs of rows (kind, id_a, id_b), smaller id first, whose texts are near-duplicates or equal."""
     members, pairs = similar_texts(items)
-    pairs = materialize(pairs, "pairs")
+    members, pairs = materialize(members, "members"), materialize(pairs, "pairs")
     a, b = (members.toDF(f"tid_{x}", kind, f"id_{x}") for x, kind in (("a", "kind"), ("b", "kind_b")))
+    near = pairs.join(a, "tid_a").join(b, "tid_b")
+    same = a.join(b, F.col("tid_a") == F.col("tid_b")).where(F.col("id_a") < F.col("id_b"))
     return (
-        pairs.join(a, "tid_a")
-        .join(b, "tid_b")
-        .where((F.col("tid_a") != F.col("tid_b")) | (F.col("id_a") < F.col("id_b")))
+        near.select("kind", "id_a", "id_b")
+        .unionAll(same.select("kind", "id_a", "id_b"))
         .select("kind", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+        .where(F.col("id_a") != F.col("id_b"))
         .distinct()
     )
