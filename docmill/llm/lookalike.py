@@ -41,13 +41,19 @@ MEMBERS = sorted(_CLASS_OF)
 _NUMBER = np.full(0x10000, -1, dtype=np.int16)
 for _i, _c in enumerate(MEMBERS):
     _NUMBER[ord(_c)] = _i
-_TOKEN = re.compile(r"[^\W_]+")
+#: A token from its first letter that has look-alikes, or from letters of scripts that mix with them.
+_FIRST = "".join(k[0] for k in CLASSES if k[0].isalpha())
+_TOKEN = re.compile(rf"[Ͱ-ϿЀ-ԯ԰-֏Ꭰ-Ᏼꓐ-꓿ァ-ヺ]*[{_FIRST}][^\W_]*")
+_FOLDED = re.compile("[" + re.escape("".join(c for k in CLASSES for c in k[1:])) + "]")
+#: Marks, and letters that may come with an accent while having look-alikes.
+_ACCENTED = re.compile("[\u0300-\u058f\u13a0-\u13ff\u1ab0-\u1aff\u1dc0-\u1fff\ua4d0-\ua4ff]")
 _SPACES = re.compile(r"[^\S\n]+")
 _EDGES = re.compile(r" ?\n ?")
 _LINES = re.compile("\r\n?|[\x0b\x0c\x85\u2028\u2029]")
 #: Ignorable characters that are not of a control or format category.
 _BLANK = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
-_PLAIN = re.compile(r"[ -~\n]*")
+#: Texts of these characters alone are composed and have neither compatibility forms nor ignorable characters.
+_PLAIN = re.compile("[ -~\\n\u00c0-\u00ff\u3001\u3002\u3041-\u3096\u30a1-\u30fe\u4e00-\u9fff\uac00-\ud7a3]*")
 
 
 def _pictograph(c: str) -> bool:
@@ -98,10 +104,11 @@ def simplify(text: str) -> str:
     """All steps ahead of the lattice."""
     if not _PLAIN.fullmatch(text):
         text = _join(_LINES.sub("\n", text).translate(_STEP))
-        text = unicodedata.normalize("NFD", text).translate(_FOLD_SAFE)
+        if _ACCENTED.search(text):
+            text = unicodedata.normalize("NFD", text).translate(_FOLD_SAFE)
         text = unicodedata.normalize("NFC", text)
     text = _EDGES.sub("\n", _SPACES.sub(" ", text)).strip(" \n")
-    return text.translate(_FOLD)
+    return text.translate(_FOLD) if _FOLDED.search(text) else text
 
 
 #: Letters only: folded while accents are apart, so that an accented look-alike is met as well.
