@@ -46,15 +46,22 @@ def undouble(text: Column, digits: bool = True) -> Column:
 
 def char_grams(text: Column, n: int = 3) -> Column:
     """Distinct n-character pieces of a text without white space; an empty array for a shorter one, null for null."""
-    bare = strip_spaces(text)
-    pieces = F.transform(F.sequence(F.lit(1), F.length(bare) - (n - 1)), lambda i: F.substring(bare, i, F.lit(n)))
-    return F.when(F.length(bare) >= n, F.array_distinct(pieces)).when(bare.isNotNull(), F.array().cast("array<string>"))
+    # bound to a lambda variable, so that the bare text is made once and not again for every piece
+    def pieces(bare: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(bare) - (n - 1)), lambda i: F.substring(bare, i, F.lit(n)))
+        return F.when(F.length(bare) >= n, F.array_distinct(each)).when(bare.isNotNull(), F.array().cast("array<string>"))
+
+    return F.transform(F.array(strip_spaces(text)), pieces)[0]
 
 
 def gram_overlap(query: Column, text: Column) -> Column:
     """Share of the query's pieces that the text has; 0 without any."""
-    q = char_grams(query)
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, F.coalesce(char_grams(text), F.array().cast("array<string>")))) / F.size(q)).otherwise(0.0)
+    def share(g: Column) -> Column:
+        return F.when(F.size(g[0]) > 0, F.size(F.array_intersect(g[0], g[1])) / F.size(g[0])).otherwise(0.0)
+
+    none = F.array().cast("array<string>")
+    both = F.array(F.coalesce(char_grams(query), none), F.coalesce(char_grams(text), none))
+    return F.transform(F.array(both), share)[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 def stage_durations(events: DataFrame) -> DataFrame:
     """Seconds from each event of a trace (trace, event_id, ts) to the next; null for the last."""
     order = Window.partitionBy("trace").orderBy("ts", "event_id")
-    return events.withColumn("seconds", F.lead(F.unix_micros("ts")).over(order) / 1e6 - F.unix_micros("ts") / 1e6)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.withColumn("seconds", F.lead(micros).over(order) / 1e6 - micros / 1e6)
 
 
 def span_rollup(spans: DataFrame, k: int = 5) -> DataFrame:
