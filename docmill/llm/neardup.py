@@ -7,7 +7,7 @@ is decoded to the Golay codewords nearby (one or six), and each of their
 indices, with two whole min-hashes of the text as anchors, becomes a key. The errors of a pair spread over
 the segments, so some segment has few (pigeonhole), and there the pair meets in a key: at
 similarity 0.7 a segment's keys meet with probability 0.61 and the anchors with 0.49, hence a
-pair at exactly 0.7 is missed with probability 0.7**14 < 0.01, at 0.75 with 0.0005, at 0.8 with 0.00001.
+pair at exactly 0.7 is missed with probability 0.7**18 < 0.002, at 0.75 with 0.0001; short texts, whose bits are fewer, with somewhat more.
 
 Meeting pairs are filtered on the fly by set size and a 240-bit sketch that travels with the keys,
 and the rest is verified exactly on the texts. Exact copies become one text first (with partial aggregation, so
@@ -30,7 +30,7 @@ from docmill.llm import golay
 from docmill.sources.tables import materialize
 
 #: Segments of the fingerprint, characters per piece, and the similarity that counts.
-SEGMENTS, GRAM, THRESHOLD = 14, 3, 0.7
+SEGMENTS, GRAM, THRESHOLD = 18, 3, 0.7
 #: Sketch: bits kept beside the 16 bits of the set's size, and the most that may differ.
 #: At similarity 0.7 they differ in 36 +- 5.5 places; 55 is 3.4 deviations away (three pairs in 10,000 at just 0.7).
 SKETCH_BITS, SKETCH_MOST = 240, 55
@@ -155,7 +155,7 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     return (
         a.join(b, "key")
         .where(F.col("tid_a") < F.col("tid_b"))
-        .where(F.bit_count(apart("s1")) + F.bit_count(apart("s2")) + F.bit_count(apart("s3")) + F.bit_count(F.shiftright(apart("s4"), 16)) <= SKETCH_MOST)
+        .where(F.bit_count(apart("s1")) + F.bit_count(apart("s2")) + F.bit_count(apart("s3")) + F.bit_count(F.shiftrightunsigned(apart("s4"), 16)) <= SKETCH_MOST)
         .where((F.least(size_a, size_b) >= THRESHOLD * F.greatest(size_a, size_b)) | (F.greatest(size_a, size_b) == SIZE_MOST))
         .select("tid_a", "tid_b")
         .distinct()
@@ -220,3 +220,15 @@ def similar_rows(items: DataFrame) -> DataFrame:
         .where(F.col("id_a") != F.col("id_b"))
         .distinct()
     )
+
+
+def grouped_rows(items: DataFrame) -> DataFrame:
+    """One row per comparable row: kind, item_id, group (an id of a text), links (near texts of its text, copies aside), copies (rows with the same text, itself included)."""
+    from docmill.llm.groups import connected
+
+    members, pairs = similar_texts(items)
+    members, pairs = materialize(members.distinct(), "members"), materialize(pairs, "pairs")
+    groups = connected(members, pairs)
+    links = pairs.select(F.explode(F.array("tid_a", "tid_b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("links"))
+    copies = members.groupBy("tid").agg(F.count("*").alias("copies"))
+    return members.join(groups, "tid").join(copies, "tid").join(links, "tid", "left").select("kind", "item_id", "group", F.coalesce("links", F.lit(0)).alias("links"), "copies")

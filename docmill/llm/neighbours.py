@@ -137,12 +137,13 @@ def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from compare(pa.Table.from_batches(held))
 
 
-def first_graph(vectors: DataFrame) -> DataFrame:
-    """Neighbours found in the sorted orders."""
+def first_graph(vectors: DataFrame, orders: int = ORDERS) -> DataFrame:
+    """Neighbours found in the first sorted orders."""
     spark = vectors.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a partition holds several blocks at least, so that few neighbours are parted by its edges
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), vectors.count() // (4 * BLOCK)))
     found = None
-    for t in range(ORDERS):
+    for t in range(orders):
         part = (
             vectors.select("kind", "vid", "unit", F.col("marks")[t].alias("mark"), F.xxhash64("vid").alias("salt"))
             .repartitionByRange(parts, "kind", "mark", "salt")
@@ -216,6 +217,44 @@ def neighbour_graph(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return graph
 
 
+def greedy_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int = 5, beam: int = 12, orders: int = 2, hops: int = 6) -> DataFrame:
+    """The k nearest of each query (kind, query, unit, marks), found by walking the graph: kind, query, near.
+
+    A query enters where it falls in the first sorted orders, among the vectors of its block. Each hop joins the beam with
+    the graph, scores whoever is new, and keeps the best; it ends when no beam changes. ``unit`` and ``marks`` are as in the index.
+    """
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        a = queries.select("kind", F.col("query").alias("a"), F.col("unit").alias("x"))
+
+        def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    sim = (_vectors(b.column("x")).astype(np.float64) * _vectors(b.column("y"))).sum(1)
+                    yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("a"), b.column("b"), pa.array(sim)], names=["kind", "query", "b", "sim"])
+
+        both = pairs.join(a.drop("kind"), "a").join(vectors.select(F.col("vid").alias("b"), F.col("unit").alias("y")), "b")
+        return both.select("kind", "a", "b", "x", "y").mapInArrow(dot, "kind string, query string, b long, sim double")
+
+    one = F.array(F.struct("sim", F.col("b").alias("vid")))
+    numbered = materialize(queries.select("kind", "query", "unit", "marks").withColumn("vid", -1 - F.monotonically_increasing_id()), "queries")
+    stream = vectors.select("kind", "vid", "unit", "marks").unionAll(numbered.select("kind", "vid", "unit", "marks"))
+    entered = first_graph(stream, orders).where("vid < 0").join(numbered.select("vid", "query"), "vid")
+    state = materialize(entered.select("kind", "query", F.filter("near", lambda n: n["vid"] >= 0).alias("near")), "beam")
+    for _ in range(hops):
+        at = state.select("kind", "query", "near", F.explode("near").alias("n")).select("kind", "query", F.transform("near", lambda n: n["vid"]).alias("held"), F.col("n.vid").alias("vid"))
+        around = at.join(graph.select("vid", F.transform("near", lambda n: n["vid"]).alias("next")), "vid")
+        fresh = around.select("kind", F.col("query").alias("a"), F.explode(F.array_except("next", "held")).alias("b")).distinct()
+        new = scored(fresh).select("kind", "query", one.alias("near"))
+        step = state.unionAll(new).groupBy("kind", "query").agg(_top(F.flatten(F.collect_list("near")), beam).alias("near"))
+        after = materialize(step, "beam")
+        moved = after.join(state.select("query", F.col("near").alias("before")), "query").where("near <> before").limit(1).count()
+        state = after
+        if not moved:
+            break
+    return state.select("kind", "query", F.slice("near", 1, k).alias("near"))
+
+
 def similar_vectors(rows: DataFrame, dim: int, k: int = 5) -> DataFrame:
     """For every usable vector of (kind, key, vector) its k nearest: kind, key, rank, other, cosine."""
     if k > KEEP:

@@ -57,6 +57,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_rows(_bodies(spark, sf_dir))
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, links and copies of every chunk and hit that can be compared."""
+    return neardup.grouped_rows(_bodies(spark, sf_dir))
+
+
 def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to compare by look: kind, scope, key, text. The body of a chunk is there for its quotes."""
     blocks = table(spark, sf_dir, "blocks").select(F.lit("block").alias("kind"), F.col("doc_id").alias("scope"), F.col("block_id").alias("key"), "text")
@@ -148,6 +153,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy graph search: the vectors whose number in the index is divisible by 20, against all others of their kind."""
+    index = neighbours.index_vectors(_embeddings(spark, sf_dir), DIM)
+    graph = neighbours.neighbour_graph(index)
+    asked = index.where(F.col("vid") % 20 == 0).select("kind", F.concat_ws("/", "kind", "key").alias("query"), "unit", "marks")
+    found = neighbours.greedy_search(asked, graph, index, k=6)
+    names = index.select("vid", F.concat_ws("/", "kind", "key").alias("name"), F.col("key").alias("other"))
+    return (
+        found.select("kind", "query", F.explode("near").alias("n"))
+        .select("kind", "query", F.col("n.vid").alias("vid"), F.round("n.sim", 6).alias("cosine"))
+        .join(names, "vid")
+        .where("query <> name")
+        .select("kind", "query", "other", "cosine")
+    )
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizing.encode_column(table(spark, sf_dir, "documents"), "text", ["doc_id"])
@@ -177,6 +198,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
@@ -185,6 +207,7 @@ QUERIES = {
     "p4_languages": p4_languages,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p5_search": p5_search,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p8_found": p8_found,
