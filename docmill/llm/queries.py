@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.functions.text import TOKEN, strip_spaces
+from docmill.functions.text import SPACE, TOKEN, strip_spaces
 from docmill.llm import language, lookalike, neardup, neighbours, packing, splitting, stuffing, tokenizing
 from docmill.sources.tables import materialize, table
 
@@ -215,6 +215,16 @@ QUERIES = {
 }
 
 ORACLES = {
+    "p1_found": f"""
+        WITH t AS (SELECT DISTINCT 'chunk' AS kind, '' AS scope, chunk_id AS id, body FROM chunks
+                   UNION SELECT DISTINCT 'hit', query_id, hit_id, source['body'] FROM hits WHERE query_id IS NOT NULL),
+          b AS (SELECT kind, scope, id, regexp_replace(body, '[{SPACE}]+', '', 'g') AS s FROM t WHERE body IS NOT NULL),
+          g AS (SELECT kind, scope, id, list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS g FROM b WHERE length(s) >= 3),
+          e AS (SELECT kind, scope, id, len(g) AS n, unnest(g) AS x FROM g),
+          p AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, a.n + b.n AS n, count(*) AS shared FROM e a JOIN e b
+                ON a.kind = b.kind AND a.scope = b.scope AND a.x = b.x AND a.id < b.id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n GROUP BY ALL)
+        SELECT kind, id_a, id_b FROM p WHERE shared >= 0.7 * (n - shared)
+    """,
     "p2_found": f"""
         SELECT DISTINCT 'section' AS kind, section_id AS item_id FROM sections WHERE length(body) > {SECTION_LIMIT}
         UNION
