@@ -90,3 +90,14 @@ def test_quotes_and_budgets(spark):
     assert [(r["rank"], r["used"]) for r in answering.budget_skip(hits, F.col("n"), 100).orderBy("rank").collect()] == [(1, 80), (3, 90)]
     gate = spark.createDataFrame([(0, [], 0.9), (3, ["knn failed"], 0.99), (3, [], 0.6), (3, [], 0.78)], "n int, degraded array<string>, s double")
     assert [r[0] for r in gate.select(answering.refusal(F.col("n"), F.col("degraded"), F.col("s"))).collect()] == ["no_hits", "search_degraded", "low_confidence", None]
+
+
+def test_grounding_and_reranking(spark):
+    df = spark.createDataFrame([("1", "연차 휴가 ＡＢ", ["연차휴가", "AB", "해고", ""], None), ("2", None, ["x"], [])], "chunk_id string, body string, keywords array<string>, entities array<string>")
+    got = {r["chunk_id"]: (r["keywords"], r["entities"]) for r in answering.grounded_terms(df, "chunk_id", "body", "keywords", "entities").collect()}
+    assert got == {"1": (["연차휴가", "AB"], None), "2": ([], [])}
+    rows = [(f"q{q}", f"c{c}", int(c == 0), *([1.0 if c == 0 else 0.1 * c] * len(evaluation.FEATURES))) for q in range(12) for c in range(5)]
+    data = spark.createDataFrame(rows, ["query_id", "chunk_id", "label", *evaluation.FEATURES])
+    ranked = evaluation.rerank(data, evaluation.fit_reranker(data))
+    assert {r["chunk_id"] for r in ranked.where("ltr_rank = 1").collect()} == {"c0"}
+    assert evaluation.mean_reciprocal_rank(data, F.col("chunk_id").desc()).first()["mrr"] == pytest.approx(0.2)
