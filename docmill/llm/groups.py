@@ -1,4 +1,4 @@
-"""Connected groups of near-duplicates, by label propagation with pointer jumping."""
+"""Connected groups of near-duplicates, by hooking of roots with pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from docmill.sources.tables import materialize
 
 
-def connected(nodes: DataFrame, pairs: DataFrame, rounds: int = 40) -> DataFrame:
+def connected(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
     """(tid, group): the smallest id that a chain of pairs (tid_a, tid_b) leads to; a node without pairs is its own group.
 
-    Every round a node takes the least label around it, then the label of that label, so a chain halves. Only nodes with
-    pairs take part; the minimum is a partial aggregate, so a node with very many pairs is no hot group. Each round is a written table.
+    Every node has a label, at first itself. Every round the least label of labels around a node goes to the node and to its
+    label's node, so whole trees are hooked, and a node takes the label of its label. Labels only fall and stay in their group;
+    it ends when none changes, and then both ends of every pair have one label. Beyond ``rounds`` it raises: no group comes out split.
+    Only nodes with pairs take part; the minima are partial aggregates, so a node or label with very many members is no hot group.
+    Each round is two written tables.
     """
     edges = materialize(pairs.select("tid_a", "tid_b").unionAll(pairs.select(F.col("tid_b"), F.col("tid_a"))).distinct().toDF("tid", "to"), "edges")
     labels = materialize(edges.groupBy("tid").agg(F.least(F.col("tid"), F.min("to")).alias("group")), "labels")
     for _ in range(rounds):
-        around = edges.join(labels.withColumnRenamed("tid", "to"), "to").groupBy("tid").agg(F.min("group").alias("near"))
-        step = labels.join(around, "tid").select("tid", F.col("group").alias("old"), F.least("group", "near").alias("group"))
-        jump = labels.select(F.col("tid").alias("group"), F.col("group").alias("next"))
-        new = materialize(step.join(jump, "group", "left").select("tid", "old", F.least("group", F.coalesce("next", "group")).alias("group")), "labels")
+        of = labels.select(F.col("tid").alias("group"), F.col("group").alias("next"))
+        jumped = materialize(labels.join(of, "group").select("tid", "group", "next"), "jumped")
+        around = edges.join(jumped.select(F.col("tid").alias("to"), "next"), "to").groupBy("tid").agg(F.min("next").alias("near"))
+        seen = jumped.join(around, "tid").select("tid", "group", F.least("next", "near").alias("near"))
+        hooks = seen.groupBy("group").agg(F.min("near").alias("hook")).withColumnRenamed("group", "tid")
+        new = materialize(seen.join(hooks, "tid", "left").select("tid", F.col("group").alias("old"), F.least("near", F.coalesce("hook", "near")).alias("group")), "labels")
         labels = new.select("tid", "group")
         if not new.where(F.col("old") != F.col("group")).limit(1).count():
             break
+    else:
+        raise RuntimeError(f"groups still change after {rounds} rounds")
     return nodes.select("tid").distinct().join(labels, "tid", "left").select("tid", F.coalesce("group", "tid").alias("group"))
