@@ -310,7 +310,7 @@ def bootstrap_of_fusion(spark: SparkSession, d: str) -> DataFrame:
     a, b = evaluation.score(q, hits(spark, d), cover), evaluation.score(q, mine, cover)
     both = a.where("bucket <> 'E'").join(b.select("query_id", F.col("ndcg").alias("nb"), F.col("rr").alias("rb"), F.col("recall").alias("cb")), "query_id")
     pairs = both.select("query_id", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(x).alias("a"), F.col(y).alias("b")) for m, x, y in (("ndcg", "ndcg", "nb"), ("recall", "recall", "cb"), ("mrr", "rr", "rb"))))))
-    return evaluation.paired_bootstrap(pairs, 2000)
+    return evaluation.paired_bootstrap(pairs)
 
 
 def _ltr_hits(spark: SparkSession, d: str) -> DataFrame:
