@@ -2,7 +2,8 @@
 
 Texts are cut into segments (lines, long ones in parts). Within a text two lag windows are compared: every letter with
 those 2 to some dozens of letters before it (positional autocorrelation of letter groups), and every term
-with the ten before it (recurrence gaps). A segment whose letters mostly recur at such short gaps is
+with the ten before it (recurrence gaps). Beyond these windows, at any distance in the text, terms and groups of letters
+of scripts without spaces count that come back at even gaps (a long list pasted again and again). A segment whose letters mostly recur at such short gaps is
 unnaturally regular. From all texts follow the promotion terms: those that stand in regular segments nearly always.
 A segment that is a list of nouns with such terms and without the words of sentences is stuffed as well, and so
 are links. A text of which more than half is stuffed is found.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 WIDE, WIDE_LAGS, NARROW, NARROW_LAGS, TERM_LAGS = 3, 20, 5, 40, 10
 #: Pairs of letters of scripts without spaces count at the shortest gaps.
 PAIR_LAGS = 8
+#: Gaps between equal terms or groups at any distance are even if there are so many and their deviation is at most this share of their mean.
+EVEN_GAPS, EVEN_SPREAD = 4, 0.5
 #: Length of a segment at most; share of recurring letters of a regular one; share of the text that makes a case.
 SEGMENT, REGULAR, CASE = 240, 0.45, 0.5
 #: A promotion term stands in regular segments this often, in so many texts, and is this share of all regular segments' texts at least.
@@ -62,6 +65,25 @@ def _near(x: np.ndarray, text: np.ndarray, group: int, lags: int) -> np.ndarray:
     return hit
 
 
+def _even(x: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which places hold a value that recurs in its text at even gaps, however wide."""
+    key = x.view(np.uint64) ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")
+    first = np.ones(len(x), dtype=bool)
+    first[1:] = np.diff(key[order]) != 0
+    head = np.flatnonzero(first)
+    count = np.diff(np.append(head, len(x)))
+    gap = np.zeros(len(x))
+    gap[1:] = np.diff(order)
+    gap[head] = 0
+    total, square = (np.add.reduceat(g, head) if len(head) else g for g in (gap, gap * gap))
+    n = np.maximum(count - 1, 1)
+    even = (count > EVEN_GAPS) & (square / n - (total / n) ** 2 <= (EVEN_SPREAD * total / n) ** 2)
+    hit = np.zeros(len(x), dtype=bool)
+    hit[order] = np.repeat(even, count)
+    return hit
+
+
 class Page:
     """The measures of a batch of texts; arrays by segment unless said otherwise."""
 
@@ -97,6 +119,13 @@ class Page:
         for wide, group, lags in ((True, WIDE, WIDE_LAGS), (True, 2, PAIR_LAGS), (False, NARROW, NARROW_LAGS)):
             own = np.flatnonzero((x >= 0x1100) == wide)
             hit[own[_near(x[own], xt[own], group, lags)]] = True
+        own = np.flatnonzero(x >= 0x1100)
+        if len(own) >= WIDE:
+            y = x[own].astype(np.uint64)
+            groups = (y[:-2] << np.uint64(42)) | (y[1:-1] << np.uint64(21)) | y[2:]
+            at_even = np.flatnonzero(_even(groups, xt[own][:-2]) & (xt[own][2:] == xt[own][:-2]))
+            for k in range(WIDE):
+                hit[own[at_even + k]] = True
         # terms: runs of letters; their hash is a sum over the run
         new = np.ones(len(at), dtype=bool)
         new[1:] = np.diff(at) != 1
@@ -121,6 +150,7 @@ class Page:
             e = (self.term[lag:] == self.term[:-lag]) & (self.term_text[lag:] == self.term_text[:-lag]) & long[lag:]
             again[lag:] |= e
             again[:-lag] |= e
+        again |= _even(self.term, self.term_text) & long
         spread = np.zeros(len(head), dtype=bool)
         spread[plain] = again
         hit |= np.repeat(spread, length)
