@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
+    """The folder that all executors share, which the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a local folder is made and remembered in the session.
+    Where that is unset a local folder is made and remembered in the session, but only in local mode (tests, one machine); a
+    cluster without a shared folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("docmill.shared.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("docmill.shared.dir", found)
     return found
@@ -36,3 +39,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(written: DataFrame) -> None:
+    """Delete the folder of a table that :func:`materialize` wrote, once everything made from it has been written too."""
+    spark = written.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in written.inputFiles()}:
+        if re.search(r"-[0-9a-f]{32}$", folder):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
