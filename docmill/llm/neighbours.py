@@ -1,19 +1,19 @@
 """The k most similar vectors of every vector: NN-descent as Spark joins.
 
-1. Start: the vectors are sorted several times by the signs of random projections about the mean and
-   compared within a sliding block of the sorted order, which gives a first graph. Blocks are bounded and ties are
-   spread by a salt, so a value that a third of all rows share is no hot group.
-2. Descent: every vector hands its closest neighbours, forward and reverse, to each of
-   them; whoever is new there is scored and the better ones are kept. Only ids
-   travel in this step; vectors are joined for the new pairs alone.
-3. :func:`greedy_search` answers queries by walking the finished graph, again one join per hop.
-
-The result is approximate; recall is measured against brute force in the tests.
+1. Start: the vectors are sorted a few times by the signs of random projections about the mean and compared within small
+   blocks of the sorted order. Blocks are bounded and ties are spread by a salt, so a value that a third of all rows share is no hot group.
+2. Descent: around every vector stands a circle, a bounded random sample of its close neighbours, forward and reverse. The vectors of a
+   circle's members are sent to it once and compared there; a pair is looked at only if one of the two is new to the circle. What is better
+   than a vector's worst neighbour goes back to it. Rounds go on until less than :data:`STILL` of the lists gain a close neighbour.
+3. :func:`greedy_search` answers queries by walking the finished graph, one join per hop, until the beams rest.
+
+Vectors travel as 16-bit numbers with a scale; a cosine from these is off by 1e-5 or so. The result is approximate; recall is
+measured against brute force in the tests and, for the larger tables, in the README.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,38 +21,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmill.sources.tables import materialize
+from docmill.sources.tables import discard, materialize
 
-#: Sorted orders, sign bits per order, vectors per block (half of which overlap), neighbours kept.
-ORDERS, BITS, BLOCK, KEEP = 4, 24, 2048, 10
-#: Closest neighbours, forward and reverse together, that a vector introduces to each other, and rounds of it.
-INTRODUCE, ROUNDS = 8, 2
+#: Sorted orders, sign bits per order, vectors per block, neighbours kept.
+ORDERS, BITS, BLOCK, KEEP = 3, 24, 512, 12
+#: Closest neighbours that a vector is introduced to, and members of a circle.
+FORWARD, CIRCLE = 10, 14
+#: Share of the lists that may still gain one of their closest FIRST neighbours in the last round; rounds and hops at most.
+STILL, FIRST, ROUNDS, HOPS = 0.002, 5, 30, 30
+#: Vectors of each kind, drawn by hash, among which a search looks for its entry.
+ENTRIES = 2048
 
-GRAPH = "kind string, vid long, near array<struct<sim: double, vid: long>>"
-
-
-def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f4").reshape(len(column), -1)
+GRAPH = "vid long, near array<struct<sim: double, vid: long>>"
+_NEAR = pa.list_(pa.struct([("sim", pa.float64()), ("vid", pa.int64())]))
+Batches = Iterator[pa.RecordBatch]
 
 
 def usable_vectors(rows: DataFrame, dim: int) -> DataFrame:
-    """(kind, key, raw): vectors of ``dim`` finite numbers, not all zero; a repeated key once."""
+    """(kind, key, vector): vectors of ``dim`` finite numbers, not all zero; a repeated key once."""
     ok = (
         (F.size("vector") == dim)
         & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("vector", lambda x: x != 0)
     )
-    return rows.where(ok).dropDuplicates(["kind", "key"])
+    return rows.select("kind", "key", "vector").where(ok).dropDuplicates(["kind", "key"])
+
+
+def _units(b: pa.RecordBatch, dim: int) -> np.ndarray:
+    v = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _packed(unit: np.ndarray) -> pa.Array:
+    """Unit vectors as bytes: a scale and 16-bit numbers."""
+    scale = (np.abs(unit).max(1, keepdims=True) / 32767).astype("<f4")
+    short = np.round(unit / scale).astype("<i2")
+    whole = np.concatenate([scale.view(np.uint8), short.view(np.uint8).reshape(len(unit), -1)], axis=1)
+    return pa.array([x.tobytes() for x in whole], type=pa.binary())
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers as doubles (their sums of products are exact, in any order) and scales."""
+    whole = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+    scale = np.ascontiguousarray(whole[:, :4]).view("<f4")[:, 0].astype(np.float64)
+    return np.ascontiguousarray(whole[:, 4:]).view("<i2").astype(np.float64), scale
 
 
 def _means(rows: DataFrame, dim: int) -> dict[str, np.ndarray]:
     """Mean unit vector of each kind; summed in the tasks, then by position: a few rows reach the driver."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Batches) -> Batches:
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            v = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            v = _units(b, dim)
             kinds = b.column("kind").to_numpy(zero_copy_only=False)
             for k in set(kinds):
                 own = v[kinds == k]
@@ -74,184 +95,264 @@ def index_vectors(rows: DataFrame, dim: int) -> DataFrame:
     planes = np.random.Generator(np.random.PCG64(7)).standard_normal((dim, ORDERS * BITS))
     weight = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Batches) -> Batches:
         for b in batches:
-            v = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            kinds = b.column("kind").to_pylist()
-            side = (v - np.stack([means[k] for k in kinds])) @ planes > 0
+            v = _units(b, dim)
+            side = (v - np.stack([means[k] for k in b.column("kind").to_pylist()]).reshape(len(v), dim)) @ planes > 0
             marks = (side.reshape(len(v), ORDERS, BITS) * weight).sum(2)
-            unit = [x.tobytes() for x in v.astype("<f4")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("kind"), b.column("key"), pa.array(unit, type=pa.binary()), pa.array(marks.tolist(), type=pa.list_(pa.int64()))],
+                [b.column("kind"), b.column("key"), _packed(v), pa.array(marks.tolist(), type=pa.list_(pa.int64()))],
                 names=["kind", "key", "unit", "marks"],
             )
 
-    marked = rows.select("kind", "key", "vector").mapInArrow(mark, "kind string, key string, unit binary, marks array<long>")
-    return materialize(marked.withColumn("vid", F.monotonically_increasing_id()), "marked")
+    marked = rows.mapInArrow(mark, "kind string, key string, unit binary, marks array<long>")
+    written = materialize(marked.withColumn("vid", F.monotonically_increasing_id()), "marked")
+    discard(rows)
+    return written
 
 
-def _top(near: Column, keep: int) -> Column:
-    """The best ``keep`` of an array of (sim, vid), each once; equal ones by id."""
-    return F.slice(F.reverse(F.array_sort(F.array_distinct(near))), 1, keep)
+def _top(near: Column, keep: int, of: str = "vid") -> Column:
+    """The best ``keep`` of an array of (sim, vid), each once; equal ones by a hash that differs from vector to vector, so ties make no hubs."""
+    order = F.array_sort(F.transform(F.array_distinct(near), lambda n: F.struct((-n["sim"]).alias("s"), F.xxhash64(of, n["vid"]).alias("h"), n["vid"].alias("vid"))))
+    return F.transform(F.slice(order, 1, keep), lambda n: F.struct((-n["s"]).alias("sim"), n["vid"].alias("vid")))
 
 
-def _exact(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; the same for either order of a pair and in any block."""
-    return (unit[a].astype(np.float64) * unit[b]).sum(-1)
+def _lists(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> pa.RecordBatch:
+    """The best ``keep`` partners of each owner, each partner once."""
+    _, once = np.unique(np.stack([owner, other], 1), axis=0, return_index=True)
+    owner, other, sim = owner[once], other[once], sim[once]
+    order = np.lexsort((-sim, owner))
+    owner, other, sim = owner[order], other[order], sim[order]
+    head = np.flatnonzero(np.append(True, np.diff(owner) != 0)) if len(owner) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(owner)) - np.repeat(head, np.diff(np.append(head, len(owner))))
+    owner, other, sim = (x[place < keep] for x in (owner, other, sim))
+    head = np.flatnonzero(np.append(True, np.diff(owner) != 0)) if len(owner) else head
+    near = pa.StructArray.from_arrays([pa.array(sim), pa.array(other)], names=["sim", "vid"])
+    return pa.RecordBatch.from_arrays([pa.array(owner[head]), pa.ListArray.from_arrays(pa.array(np.append(head, len(owner)).astype(np.int32)), near)], names=["vid", "near"])
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _in_blocks(block: int, keep: int) -> Callable[[Batches], Batches]:
     """Neighbours within blocks of a sorted stream of (kind, vid, unit)."""
-    half = BLOCK // 2
-    held: list[pa.RecordBatch] = []
-    count, fresh = 0, 0
-
-    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        kinds = table.column("kind").to_numpy()
-        vid = table.column("vid").to_numpy()
-        unit = _vectors(table.column("unit"))
+
+    def compare(table: pa.Table) -> Batches:
+        kinds, vid = table.column("kind").to_numpy(), table.column("vid").to_numpy()
+        whole, scale = _unpacked(table.column("unit"))
         for k in dict.fromkeys(kinds):
             own = np.flatnonzero(kinds == k)
             if len(own) < 2:
                 continue
-            v, ids = unit[own], vid[own]
-            sim = v @ v.T
+            v, s, ids = whole[own], scale[own], vid[own]
+            sim = (v @ v.T) * (s[:, None] * s)
             np.fill_diagonal(sim, -2)
-            most = min(KEEP, len(own) - 1)
+            most = min(keep, len(own) - 1)
             best = np.argpartition(-sim, most - 1, axis=1)[:, :most]
-            exact = _exact(v, np.arange(len(own))[:, None], best)
-            near = pa.StructArray.from_arrays([pa.array(exact.ravel()), pa.array(ids[best].ravel())], names=["sim", "vid"])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * most), near)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(own)), pa.array(ids), lists], names=["kind", "vid", "near"])
-
-    for b in batches:
-        held.append(b)
-        count, fresh = count + b.num_rows, fresh + b.num_rows
-        while count >= BLOCK:
-            table = pa.Table.from_batches(held)
-            yield from compare(table.slice(0, BLOCK))
-            rest = table.slice(half).combine_chunks()
-            held, count, fresh = rest.to_batches(), count - half, count - BLOCK
-    if held and (fresh or count < BLOCK):
-        yield from compare(pa.Table.from_batches(held))
-
-
-def first_graph(vectors: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """Neighbours found in the first sorted orders."""
-    spark = vectors.sparkSession
-    # a partition holds several blocks at least, so that few neighbours are parted by its edges
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), vectors.count() // (4 * BLOCK)))
+            yield _lists(np.repeat(ids, most), ids[best].ravel(), np.take_along_axis(sim, best, 1).ravel(), most)
+
+    def run(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for b in batches:
+            held.append(b)
+            count += b.num_rows
+            if count >= 2 * block:
+                table, start = pa.Table.from_batches(held), 0
+                while count - start >= 2 * block:
+                    yield from compare(table.slice(start, block))
+                    start += block
+                held, count = table.slice(start).to_batches(), count - start
+        if count:
+            yield from compare(pa.Table.from_batches(held))
+
+    return run
+
+
+def first_graph(vectors: DataFrame, orders: int = ORDERS, block: int = BLOCK, keep: int = KEEP) -> DataFrame:
+    """(vid, near): neighbours found within blocks of the first sorted orders."""
     found = None
     for t in range(orders):
         part = (
             vectors.select("kind", "vid", "unit", F.col("marks")[t].alias("mark"), F.xxhash64("vid").alias("salt"))
-            .repartitionByRange(parts, "kind", "mark", "salt")
+            .repartitionByRange("kind", "mark", "salt")
             .sortWithinPartitions("kind", "mark", "salt")
             .select("kind", "vid", "unit")
-            .mapInArrow(_in_blocks, GRAPH)
+            .mapInArrow(_in_blocks(block, keep), GRAPH)
         )
         found = part if found is None else found.unionAll(part)
-    return found.groupBy("kind", "vid").agg(_top(F.flatten(F.collect_list("near")), KEEP).alias("near"))
-
-
-def score_pairs(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """(a, b) with the cosine of their vectors."""
-
-    def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return found.groupBy("vid").agg(_top(F.flatten(F.collect_list("near")), keep).alias("near"))
+
+
+def _introduce(circle: int, keep: int) -> Callable[[Batches], Batches]:
+    """Compares the members of each circle in a stream sorted by centre. Of each batch a vector gets its best partners alone, so
+    what later meets at one vector is bounded by the number of batches, not of circles."""
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        centre, vid = table.column("centre").to_numpy(), table.column("member").to_numpy()
+        fresh, worst = table.column("fresh").to_numpy(), table.column("worst").to_numpy()
+        whole, scale = _unpacked(table.column("unit"))
+        head = np.flatnonzero(np.append(True, np.diff(centre) != 0))
+        size = np.diff(np.append(head, len(centre)))
+        group, place = np.repeat(np.arange(len(head)), size), np.arange(len(centre)) - np.repeat(head, size)
+        shape = (len(head), circle)
+        at = np.full(shape, -1)
+        at[group, place] = np.arange(len(centre))
+        v = np.zeros((*shape, whole.shape[1]))
+        v[group, place] = whole
+        there = at >= 0
+        new = there & fresh[at]
+        dots = v @ v.transpose(0, 2, 1)
+        g, i, j = np.nonzero(there[:, :, None] & there[:, None, :] & (new[:, :, None] | new[:, None, :]) & ~np.eye(circle, dtype=bool))
+        a, b = at[g, i], at[g, j]
+        sim = dots[g, i, j] * (scale[a] * scale[b])
+        better = sim > worst[a]
+        return _lists(vid[a[better]], vid[b[better]], sim[better], keep)
+
+    def run(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            if b.num_rows:
-                sim = (_vectors(b.column("x")).astype(np.float64) * _vectors(b.column("y"))).sum(1)
-                yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("a"), b.column("b"), pa.array(sim)], names=["kind", "a", "b", "sim"])
-
-    return (
-        pairs.join(units.select(F.col("vid").alias("a"), F.col("unit").alias("x")), "a")
-        .join(units.select(F.col("vid").alias("b"), F.col("unit").alias("y")), "b")
-        .select("kind", "a", "b", "x", "y")
-        .mapInArrow(dot, "kind string, a long, b long, sim double")
+            if not b.num_rows:
+                continue
+            held.append(b)
+            centre = b.column("centre").to_numpy()
+            last = int(np.searchsorted(centre, centre[-1]))  # the last circle may go on in the next batch
+            if last:
+                table = pa.Table.from_batches([*held[:-1], b.slice(0, last)])
+                held = [b.slice(last)]
+                yield compare(table)
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    return run
+
+
+def descend(graph: DataFrame, units: DataFrame, turn: int, forward: int = FORWARD, circle: int = CIRCLE, keep: int = KEEP) -> DataFrame:
+    """One round of NN-descent on a written graph (vid, near, fresh); ``fresh`` are the neighbours that the last round brought."""
+    one = graph.select("vid", F.explode(F.slice("near", 1, forward)["vid"]).alias("to"), "fresh").select("vid", "to", F.array_contains("fresh", F.col("to")).alias("fresh"))
+    both = one.unionAll(one.select(F.col("to").alias("vid"), F.col("vid").alias("to"), "fresh"))
+    # a random sample; the two directions of one edge share their rank
+    order = Window.partitionBy("vid").orderBy(F.xxhash64("to", F.lit(turn)), "to")
+    circles = (
+        both.withColumn("at", F.dense_rank().over(order))
+        .where(F.col("at") <= circle)
+        .groupBy("vid", "to").agg(F.max("fresh").alias("fresh"))
+        .withColumn("any", F.max("fresh").over(Window.partitionBy("vid")))
+        .where("any")
+        .select(F.col("vid").alias("centre"), F.col("to").alias("member"), "fresh")
+    )
+    # a list that is not full takes whatever comes
+    worst = graph.select("vid", F.when(F.size("near") >= keep, F.array_min(F.col("near")["sim"])).otherwise(-2.0).alias("worst"))
+    found = (
+        circles.join(units.join(worst, "vid").withColumnRenamed("vid", "member"), "member")
+        .select("centre", "member", "fresh", "worst", "unit")
+        .repartition("centre")
+        .sortWithinPartitions("centre")
+        .mapInArrow(_introduce(circle, keep), GRAPH)
     )
+    held = graph.select("vid", "near", F.col("near")["vid"].alias("before"))
+    none = F.lit(None).cast("array<long>")
+    merged = held.unionAll(found.select("vid", "near", none)).groupBy("vid").agg(F.flatten(F.collect_list("near")).alias("all"), F.first("before", ignorenulls=True).alias("before"))
+    best = merged.select("vid", "before", _top(F.col("all"), keep).alias("near"))
+    return best.select("vid", "near", F.array_except(F.col("near")["vid"], "before").alias("fresh"))
+
+
+def _complete(graph: DataFrame, vectors: DataFrame, keep: int) -> DataFrame:
+    """Vectors whose list is shorter than their kind allows (few of a kind, parted by the edges of the sorted partitions) are compared
+    with all of their kind. Everything else has a full list from its block, so this is no step for many."""
+    sizes = vectors.groupBy("kind").agg(F.count("*").alias("n"))
+    joined = vectors.select("vid", "kind").join(graph.select("vid", F.size("near").alias("has")), "vid", "left").join(sizes, "kind")
+    short = materialize(joined.where(F.coalesce("has", F.lit(0)) < F.least(F.lit(keep), F.col("n") - 1)).select("vid", "kind"), "short")
+    if not short.limit(1).count():
+        return graph
+    a = short.join(vectors.select("vid", F.col("unit").alias("x")), "vid").select("kind", F.col("vid").alias("a"), "x")
+    pairs = a.join(vectors.select("kind", F.col("vid").alias("b"), F.col("unit").alias("y")), "kind").where("a <> b").select("a", "b", "x", "y")
+    more = scored(pairs).groupBy("a").agg(F.collect_list(F.struct("sim", F.col("b").alias("vid"))).alias("near")).withColumnRenamed("a", "vid")
+    rest = graph.join(short.select("vid"), "vid", "left_anti").select("vid", "near")
+    return rest.unionAll(more.select("vid", _top(F.col("near"), keep).alias("near")))
+
+
+def scored(pairs: DataFrame, a: str = "a", kind: str = "long") -> DataFrame:
+    """(a, b, x, y) as (a, b, sim): cosines of the packed vectors x and y."""
+
+    def dot(batches: Batches) -> Batches:
+        for b in batches:
+            if b.num_rows:
+                (x, s), (y, t) = _unpacked(b.column("x")), _unpacked(b.column("y"))
+                yield pa.RecordBatch.from_arrays([b.column(a), b.column("b"), pa.array((x * y).sum(1) * (s * t))], names=[a, "b", "sim"])
 
-
-def descend(graph: DataFrame, units: DataFrame) -> DataFrame:
-    """One round of NN-descent on a written graph."""
-    edge = graph.select("kind", "vid", F.explode(F.slice("near", 1, INTRODUCE)).alias("n")).select("kind", "vid", "n.sim", F.col("n.vid").alias("to"))
-    both = edge.unionAll(edge.select("kind", F.col("to").alias("vid"), "sim", F.col("vid").alias("to"))).distinct()
-    order = Window.partitionBy("vid").orderBy(F.desc("sim"), "to")
-    circle = (
-        both.withColumn("at", F.row_number().over(order))
-        .where(F.col("at") <= INTRODUCE)
-        .groupBy("kind", "vid")
-        .agg(F.collect_list("to").alias("circle"))
-    )
-    met = (
-        circle.select(F.explode("circle").alias("vid"), "circle")
-        .groupBy("vid")
-        .agg(F.array_distinct(F.flatten(F.collect_list("circle"))).alias("met"))
-    )
-    fresh = (
-        graph.join(met, "vid")
-        .select("kind", "vid", F.explode(F.array_except("met", F.array_append(F.transform("near", lambda n: n["vid"]), F.col("vid")))).alias("to"))
-        .select("kind", F.least("vid", "to").alias("a"), F.greatest("vid", "to").alias("b"))
-        .distinct()
-    )
-    scored = score_pairs(fresh, units)
-    new = scored.select("kind", F.col("a").alias("vid"), F.struct("sim", F.col("b").alias("vid")).alias("n")).unionAll(
-        scored.select("kind", F.col("b").alias("vid"), F.struct("sim", F.col("a").alias("vid")).alias("n"))
-    )
-    return (
-        graph.unionAll(new.select("kind", "vid", F.array("n").alias("near")))
-        .groupBy("kind", "vid")
-        .agg(_top(F.flatten(F.collect_list("near")), KEEP).alias("near"))
-    )
+    return pairs.select(a, "b", "x", "y").mapInArrow(dot, f"{a} {kind}, b long, sim double")
 
 
-def neighbour_graph(vectors: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The finished graph of a table that :func:`index_vectors` wrote: (kind, vid, near), best first.
+def neighbour_graph(vectors: DataFrame, orders: int = ORDERS, block: int = BLOCK, keep: int = KEEP, forward: int = FORWARD, circle: int = CIRCLE, still: float = STILL, rounds: int = ROUNDS) -> DataFrame:
+    """The finished graph (vid, near), best first, of a table that :func:`index_vectors` wrote.
 
-    Vectors of different kinds are never neighbours. A vector alone in its kind has no row.
+    Vectors of different kinds are never neighbours. A vector alone in its kind has no row. Rounds end when at most
+    ``still`` of the lists gained one of their closest neighbours.
     """
-    graph = materialize(first_graph(vectors), "graph")
+    start = _complete(materialize(first_graph(vectors, orders, block, keep), "graph"), vectors, min(FIRST, keep))
+    graph = materialize(start.withColumn("fresh", F.col("near")["vid"]), "graph")
     units = vectors.select("vid", "unit")
-    for _ in range(rounds):
-        graph = materialize(descend(graph, units), "graph")
-    return graph
+    for turn in range(rounds):
+        after = materialize(descend(graph, units, turn, forward, circle, keep), "graph")
+        discard(graph)
+        graph = after
+        gained = F.size(F.array_intersect(F.slice(F.col("near")["vid"], 1, FIRST), "fresh")) > 0
+        n = graph.agg(F.count("*").alias("n"), F.count_if(gained).alias("gained")).first()
+        if n["gained"] <= still * n["n"]:
+            break
+    return graph.select("vid", "near")
 
 
-def greedy_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int = 5, beam: int = 12, orders: int = 2, hops: int = 6) -> DataFrame:
-    """The k nearest of each query (kind, query, unit, marks), found by walking the graph: kind, query, near.
+def greedy_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int = 5, beam: int = 16, entries: int = ENTRIES, hops: int = HOPS) -> DataFrame:
+    """The k nearest of each query (kind, query, unit), found by walking the graph: kind, query, near.
 
-    A query enters where it falls in the first sorted orders, among the vectors of its block. Each hop joins the beam with
-    the graph, scores whoever is new, and keeps the best; it ends when no beam changes. ``unit`` and ``marks`` are as in the index.
+    A query enters at the best of ``entries`` vectors of its kind, drawn by hash: a bounded table that every task gets. Each hop joins the
+    members of the beam that have not been left yet with the graph's edges, forward and reverse, scores whoever is new and keeps the
+    best; it ends when no beam changes. ``unit`` is as in the index. A kind without vectors gives no row.
     """
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        a = queries.select("kind", F.col("query").alias("a"), F.col("unit").alias("x"))
-
-        def dot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    sim = (_vectors(b.column("x")).astype(np.float64) * _vectors(b.column("y"))).sum(1)
-                    yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("a"), b.column("b"), pa.array(sim)], names=["kind", "query", "b", "sim"])
-
-        both = pairs.join(a.drop("kind"), "a").join(vectors.select(F.col("vid").alias("b"), F.col("unit").alias("y")), "b")
-        return both.select("kind", "a", "b", "x", "y").mapInArrow(dot, "kind string, query string, b long, sim double")
-
-    one = F.array(F.struct("sim", F.col("b").alias("vid")))
-    numbered = materialize(queries.select("kind", "query", "unit", "marks").withColumn("vid", -1 - F.monotonically_increasing_id()), "queries")
-    stream = vectors.select("kind", "vid", "unit", "marks").unionAll(numbered.select("kind", "vid", "unit", "marks"))
-    entered = first_graph(stream, orders).where("vid < 0").join(numbered.select("vid", "query"), "vid")
-    state = materialize(entered.select("kind", "query", F.filter("near", lambda n: n["vid"] >= 0).alias("near")), "beam")
+    drawn = Window.partitionBy("kind").orderBy(F.xxhash64("vid"), "vid")
+    sample = vectors.select("kind", "vid", "unit").withColumn("at", F.row_number().over(drawn)).where(F.col("at") <= entries).drop("at").collect()
+    doors: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for kind in {r["kind"] for r in sample}:
+        own = [r for r in sample if r["kind"] == kind]
+        doors[kind] = (np.array([r["vid"] for r in own]), *_unpacked(pa.array([bytes(r["unit"]) for r in own], type=pa.binary())))
+
+    def enter(batches: Batches) -> Batches:
+        for b in batches:
+            kinds = b.column("kind").to_numpy(zero_copy_only=False)
+            for kind in set(kinds) & set(doors):
+                own = np.flatnonzero(kinds == kind)
+                vid, whole, scale = doors[kind]
+                v, s = _unpacked(b.column("unit").take(pa.array(own)))
+                sim = (v @ whole.T) * (s[:, None] * scale)
+                most = min(beam, len(vid))
+                best = np.argpartition(-sim, most - 1, axis=1)[:, :most]
+                lists = [[{"sim": sim[i, j], "vid": vid[j]} for j in row] for i, row in enumerate(best)]
+                yield pa.RecordBatch.from_arrays([b.column("kind").take(pa.array(own)), b.column("query").take(pa.array(own)), pa.array(lists, type=_NEAR)], names=["kind", "query", "near"])
+
+    edges = graph.select("vid", F.explode(F.col("near")["vid"]).alias("to"))
+    ways = materialize(edges.unionAll(edges.select("to", "vid")).distinct(), "ways")
+    asked = queries.select("query", F.col("unit").alias("x"))
+    entered = queries.select("kind", "query", "unit").mapInArrow(enter, "kind string, query string, near array<struct<sim: double, vid: long>>")
+    state = materialize(entered.select("kind", "query", _top(F.col("near"), beam, "query").alias("near"), F.array().cast("array<long>").alias("left")), "beam")
     for _ in range(hops):
-        at = state.select("kind", "query", "near", F.explode("near").alias("n")).select("kind", "query", F.transform("near", lambda n: n["vid"]).alias("held"), F.col("n.vid").alias("vid"))
-        around = at.join(graph.select("vid", F.transform("near", lambda n: n["vid"]).alias("next")), "vid")
-        fresh = around.select("kind", F.col("query").alias("a"), F.explode(F.array_except("next", "held")).alias("b")).distinct()
-        new = scored(fresh).select("kind", "query", one.alias("near"))
-        step = state.unionAll(new).groupBy("kind", "query").agg(_top(F.flatten(F.collect_list("near")), beam).alias("near"))
+        at = state.select("query", F.explode(F.array_except(F.col("near")["vid"], "left")).alias("vid"))
+        pairs = at.join(ways, "vid").select("query", F.col("to").alias("b")).distinct()
+        full = pairs.join(asked, "query").join(vectors.select(F.col("vid").alias("b"), F.col("unit").alias("y")), "b")
+        new = scored(full, "query", "string")
+        # of each query the best of a hop alone
+        fit = new.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "b"))).where(F.col("at") <= beam)
+        met = fit.groupBy("query").agg(F.collect_list(F.struct("sim", F.col("b").alias("vid"))).alias("met"))
+        step = state.join(met, "query", "left").select(
+            "kind",
+            "query",
+            _top(F.concat("near", F.coalesce("met", F.array().cast("array<struct<sim: double, vid: long>>"))), beam, "query").alias("near"),
+            F.array_union("left", F.col("near")["vid"]).alias("left"),
+        )
         after = materialize(step, "beam")
-        moved = after.join(state.select("query", F.col("near").alias("before")), "query").where("near <> before").limit(1).count()
+        discard(state)
         state = after
-        if not moved:
+        if not state.where(F.size(F.array_except(F.col("near")["vid"], "left")) > 0).limit(1).count():
             break
+    discard(ways)
     return state.select("kind", "query", F.slice("near", 1, k).alias("near"))
 
 
@@ -261,10 +362,10 @@ def similar_vectors(rows: DataFrame, dim: int, k: int = 5) -> DataFrame:
         raise ValueError(f"at most {KEEP} neighbours are kept")
     vectors = index_vectors(rows, dim)
     graph = neighbour_graph(vectors)
-    names = vectors.select("vid", "key")
+    names = vectors.select("vid", "key", "kind")
     return (
-        graph.select("kind", "vid", F.posexplode(F.slice("near", 1, k)).alias("p", "n"))
-        .select("kind", "vid", (F.col("p") + 1).alias("rank"), F.col("n.vid").alias("to"), F.col("n.sim").alias("cosine"))
+        graph.select("vid", F.posexplode(F.slice("near", 1, k)).alias("p", "n"))
+        .select("vid", (F.col("p") + 1).alias("rank"), F.col("n.vid").alias("to"), F.col("n.sim").alias("cosine"))
         .join(names, "vid")
         .join(names.select(F.col("vid").alias("to"), F.col("key").alias("other")), "to")
         .select("kind", "key", "rank", "other", "cosine")

@@ -157,7 +157,7 @@ def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy graph search: the vectors whose number in the index is divisible by 20, against all others of their kind."""
     index = neighbours.index_vectors(_embeddings(spark, sf_dir), DIM)
     graph = neighbours.neighbour_graph(index)
-    asked = index.where(F.col("vid") % 20 == 0).select("kind", F.concat_ws("/", "kind", "key").alias("query"), "unit", "marks")
+    asked = index.where(F.col("vid") % 20 == 0).select("kind", F.concat_ws("/", "kind", "key").alias("query"), "unit")
     found = neighbours.greedy_search(asked, graph, index, k=6)
     names = index.select("vid", F.concat_ws("/", "kind", "key").alias("name"), F.col("key").alias("other"))
     return (
