@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 from docmill.sources.tables import discard, materialize
 
 #: Sorted orders, sign bits per order, vectors per block, neighbours kept.
-ORDERS, BITS, BLOCK, KEEP = 3, 24, 512, 12
+ORDERS, BITS, BLOCK, KEEP = 3, 24, 512, 10
 #: Closest neighbours that a vector is introduced to, and members of a circle.
 FORWARD, CIRCLE = 10, 14
 #: Share of the lists that may still gain one of their closest FIRST neighbours in the last round; rounds and hops at most.
@@ -32,7 +33,8 @@ STILL, FIRST, ROUNDS, HOPS = 0.002, 5, 30, 30
 #: Vectors of each kind, drawn by hash, among which a search looks for its entry.
 ENTRIES = 2048
 
-GRAPH = "vid long, near array<struct<sim: double, vid: long>>"
+#: A list: partners ``to``, best first, their cosines, and whether the last round brought them.
+GRAPH = "vid long, sim array<float>, to array<long>, fresh array<boolean>"
 _NEAR = pa.list_(pa.struct([("sim", pa.float64()), ("vid", pa.int64())]))
 Batches = Iterator[pa.RecordBatch]
 
@@ -117,18 +119,60 @@ def _top(near: Column, keep: int, of: str = "vid") -> Column:
     return F.transform(F.slice(order, 1, keep), lambda n: F.struct((-n["s"]).alias("sim"), n["vid"].alias("vid")))
 
 
-def _lists(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> pa.RecordBatch:
-    """The best ``keep`` partners of each owner, each partner once."""
-    _, once = np.unique(np.stack([owner, other], 1), axis=0, return_index=True)
-    owner, other, sim = owner[once], other[once], sim[once]
-    order = np.lexsort((-sim, owner))
-    owner, other, sim = owner[order], other[order], sim[order]
-    head = np.flatnonzero(np.append(True, np.diff(owner) != 0)) if len(owner) else np.zeros(0, dtype=np.int64)
-    place = np.arange(len(owner)) - np.repeat(head, np.diff(np.append(head, len(owner))))
-    owner, other, sim = (x[place < keep] for x in (owner, other, sim))
-    head = np.flatnonzero(np.append(True, np.diff(owner) != 0)) if len(owner) else head
-    near = pa.StructArray.from_arrays([pa.array(sim), pa.array(other)], names=["sim", "vid"])
-    return pa.RecordBatch.from_arrays([pa.array(owner[head]), pa.ListArray.from_arrays(pa.array(np.append(head, len(owner)).astype(np.int32)), near)], names=["vid", "near"])
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two ids: equal cosines go by it, so ties make no vector everyone's neighbour."""
+    x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ b.astype(np.uint64)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _lists(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int, fresh: np.ndarray | None = None) -> pa.RecordBatch:
+    """The best ``keep`` partners of each owner, each partner once (if it is given as fresh and not fresh, it is not)."""
+    sim = sim.astype(np.float32)
+    fresh = np.ones(len(owner), dtype=bool) if fresh is None else fresh
+    order = np.lexsort((fresh, _mixed(owner, other), -sim, owner))
+    owner, other, sim, fresh = (x[order] for x in (owner, other, sim, fresh))
+    once = np.append(True, (np.diff(owner) != 0) | (np.diff(other) != 0))[: len(owner)]
+    owner, other, sim, fresh = (x[once] for x in (owner, other, sim, fresh))
+    head = np.flatnonzero(np.append(True, np.diff(owner) != 0)[: len(owner)])
+    best = np.arange(len(owner)) - np.repeat(head, np.diff(np.append(head, len(owner)))) < keep
+    owner, other, sim, fresh = (x[best] for x in (owner, other, sim, fresh))
+    head = np.flatnonzero(np.append(True, np.diff(owner) != 0)[: len(owner)])
+    ends = pa.array(np.append(head, len(owner)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(owner[head]), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (sim, other, fresh))], names=["vid", "sim", "to", "fresh"])
+
+
+def _whole_groups(key: str, run: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Batches], Batches]:
+    """Applies ``run`` to a stream sorted by ``key``, never parting the rows of one key."""
+
+    def each(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(key).to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if last or (held and held[-1].column(key)[-1].as_py() != keys[0]):
+                yield run(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield run(pa.Table.from_batches(held))
+
+    return each
+
+
+def _merged(lists: DataFrame, keep: int) -> DataFrame:
+    """One list of each vector from several; they are made of at most one list per batch of the steps before, so no vector has unboundedly many."""
+
+    def merge(table: pa.Table) -> pa.RecordBatch:
+        to = table.column("to").combine_chunks()
+        owner = np.repeat(table.column("vid").to_numpy(), pa.compute.list_value_length(to).to_numpy(zero_copy_only=False))
+        sim, fresh = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("sim", "fresh"))
+        return _lists(owner, to.flatten().to_numpy(), sim, keep, fresh.astype(bool))
+
+    return lists.repartition("vid").sortWithinPartitions("vid").mapInArrow(_whole_groups("vid", merge), GRAPH)
 
 
 def _in_blocks(block: int, keep: int) -> Callable[[Batches], Batches]:
@@ -167,7 +211,7 @@ def _in_blocks(block: int, keep: int) -> Callable[[Batches], Batches]:
 
 
 def first_graph(vectors: DataFrame, orders: int = ORDERS, block: int = BLOCK, keep: int = KEEP) -> DataFrame:
-    """(vid, near): neighbours found within blocks of the first sorted orders."""
+    """Lists of the neighbours found within blocks of the first sorted orders."""
     found = None
     for t in range(orders):
         part = (
@@ -175,10 +219,10 @@ def first_graph(vectors: DataFrame, orders: int = ORDERS, block: int = BLOCK, ke
             .repartitionByRange("kind", "mark", "salt")
             .sortWithinPartitions("kind", "mark", "salt")
             .select("kind", "vid", "unit")
-            .mapInArrow(_in_blocks(block, keep), GRAPH)
+            .mapInArrow(_in_blocks(block, min(keep, FORWARD)), GRAPH)
         )
         found = part if found is None else found.unionAll(part)
-    return found.groupBy("vid").agg(_top(F.flatten(F.collect_list("near")), keep).alias("near"))
+    return _merged(found, keep)
 
 
 def _introduce(circle: int, keep: int) -> Callable[[Batches], Batches]:
@@ -206,27 +250,12 @@ def _introduce(circle: int, keep: int) -> Callable[[Batches], Batches]:
         better = sim > worst[a]
         return _lists(vid[a[better]], vid[b[better]], sim[better], keep)
 
-    def run(batches: Batches) -> Batches:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            centre = b.column("centre").to_numpy()
-            last = int(np.searchsorted(centre, centre[-1]))  # the last circle may go on in the next batch
-            if last:
-                table = pa.Table.from_batches([*held[:-1], b.slice(0, last)])
-                held = [b.slice(last)]
-                yield compare(table)
-        if held:
-            yield compare(pa.Table.from_batches(held))
-
-    return run
+    return _whole_groups("centre", compare)
 
 
 def descend(graph: DataFrame, units: DataFrame, turn: int, forward: int = FORWARD, circle: int = CIRCLE, keep: int = KEEP) -> DataFrame:
-    """One round of NN-descent on a written graph (vid, near, fresh); ``fresh`` are the neighbours that the last round brought."""
-    one = graph.select("vid", F.explode(F.slice("near", 1, forward)["vid"]).alias("to"), "fresh").select("vid", "to", F.array_contains("fresh", F.col("to")).alias("fresh"))
+    """One round of NN-descent on a written graph."""
+    one = graph.select("vid", F.posexplode(F.slice("to", 1, forward)).alias("at", "to"), F.col("fresh").alias("all")).select("vid", "to", F.col("all")[F.col("at")].alias("fresh"))
     both = one.unionAll(one.select(F.col("to").alias("vid"), F.col("vid").alias("to"), "fresh"))
     # a random sample; the two directions of one edge share their rank
     order = Window.partitionBy("vid").orderBy(F.xxhash64("to", F.lit(turn)), "to")
@@ -239,7 +268,7 @@ def descend(graph: DataFrame, units: DataFrame, turn: int, forward: int = FORWAR
         .select(F.col("vid").alias("centre"), F.col("to").alias("member"), "fresh")
     )
     # a list that is not full takes whatever comes
-    worst = graph.select("vid", F.when(F.size("near") >= keep, F.array_min(F.col("near")["sim"])).otherwise(-2.0).alias("worst"))
+    worst = graph.select("vid", F.when(F.size("to") >= keep, F.element_at("sim", -1).cast("double")).otherwise(-2.0).alias("worst"))
     found = (
         circles.join(units.join(worst, "vid").withColumnRenamed("vid", "member"), "member")
         .select("centre", "member", "fresh", "worst", "unit")
@@ -247,26 +276,23 @@ def descend(graph: DataFrame, units: DataFrame, turn: int, forward: int = FORWAR
         .sortWithinPartitions("centre")
         .mapInArrow(_introduce(circle, keep), GRAPH)
     )
-    held = graph.select("vid", "near", F.col("near")["vid"].alias("before"))
-    none = F.lit(None).cast("array<long>")
-    merged = held.unionAll(found.select("vid", "near", none)).groupBy("vid").agg(F.flatten(F.collect_list("near")).alias("all"), F.first("before", ignorenulls=True).alias("before"))
-    best = merged.select("vid", "before", _top(F.col("all"), keep).alias("near"))
-    return best.select("vid", "near", F.array_except(F.col("near")["vid"], "before").alias("fresh"))
+    held = graph.select("vid", "sim", "to", F.transform("to", lambda _: F.lit(False)).alias("fresh"))
+    return _merged(held.unionAll(found), keep)
 
 
 def _complete(graph: DataFrame, vectors: DataFrame, keep: int) -> DataFrame:
     """Vectors whose list is shorter than their kind allows (few of a kind, parted by the edges of the sorted partitions) are compared
     with all of their kind. Everything else has a full list from its block, so this is no step for many."""
     sizes = vectors.groupBy("kind").agg(F.count("*").alias("n"))
-    joined = vectors.select("vid", "kind").join(graph.select("vid", F.size("near").alias("has")), "vid", "left").join(sizes, "kind")
+    joined = vectors.select("vid", "kind").join(graph.select("vid", F.size("to").alias("has")), "vid", "left").join(sizes, "kind")
     short = materialize(joined.where(F.coalesce("has", F.lit(0)) < F.least(F.lit(keep), F.col("n") - 1)).select("vid", "kind"), "short")
     if not short.limit(1).count():
         return graph
     a = short.join(vectors.select("vid", F.col("unit").alias("x")), "vid").select("kind", F.col("vid").alias("a"), "x")
     pairs = a.join(vectors.select("kind", F.col("vid").alias("b"), F.col("unit").alias("y")), "kind").where("a <> b").select("a", "b", "x", "y")
-    more = scored(pairs).groupBy("a").agg(F.collect_list(F.struct("sim", F.col("b").alias("vid"))).alias("near")).withColumnRenamed("a", "vid")
-    rest = graph.join(short.select("vid"), "vid", "left_anti").select("vid", "near")
-    return rest.unionAll(more.select("vid", _top(F.col("near"), keep).alias("near")))
+    rest = graph.join(short.select("vid"), "vid", "left_anti")
+    more = scored(pairs).select(F.col("a").alias("vid"), F.array(F.col("sim").cast("float")).alias("sim"), F.array("b").alias("to"), F.array(F.lit(True)).alias("fresh"))
+    return rest.unionAll(_merged(more, keep))
 
 
 def scored(pairs: DataFrame, a: str = "a", kind: str = "long") -> DataFrame:
@@ -287,18 +313,20 @@ def neighbour_graph(vectors: DataFrame, orders: int = ORDERS, block: int = BLOCK
     Vectors of different kinds are never neighbours. A vector alone in its kind has no row. Rounds end when at most
     ``still`` of the lists gained one of their closest neighbours.
     """
-    start = _complete(materialize(first_graph(vectors, orders, block, keep), "graph"), vectors, min(FIRST, keep))
-    graph = materialize(start.withColumn("fresh", F.col("near")["vid"]), "graph")
-    units = vectors.select("vid", "unit")
+    graph = materialize(first_graph(vectors, orders, block, keep), "graph")
+    start = _complete(graph, vectors, min(FIRST, keep))
+    if start is not graph:
+        start = materialize(start, "graph")
+        discard(graph)
+    graph, units = start, vectors.select("vid", "unit")
     for turn in range(rounds):
         after = materialize(descend(graph, units, turn, forward, circle, keep), "graph")
         discard(graph)
         graph = after
-        gained = F.size(F.array_intersect(F.slice(F.col("near")["vid"], 1, FIRST), "fresh")) > 0
-        n = graph.agg(F.count("*").alias("n"), F.count_if(gained).alias("gained")).first()
+        n = graph.agg(F.count("*").alias("n"), F.count_if(F.exists(F.slice("fresh", 1, FIRST), lambda f: f)).alias("gained")).first()
         if n["gained"] <= still * n["n"]:
             break
-    return graph.select("vid", "near")
+    return graph.select("vid", F.arrays_zip(F.col("sim"), F.col("to").alias("vid")).alias("near"))
 
 
 def greedy_search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, k: int = 5, beam: int = 16, entries: int = ENTRIES, hops: int = HOPS) -> DataFrame:

@@ -35,7 +35,7 @@ def recall(v, index, graph):
 
 def test_descent_lifts_a_poor_start(spark, small):
     v, _, index = small
-    start = recall(v, index, N.first_graph(index, orders=2, block=16))
+    start = recall(v, index, N.neighbour_graph(index, orders=2, block=16, rounds=0))
     end = recall(v, index, N.neighbour_graph(index, orders=2, block=16))
     assert start < 0.35 and end >= 0.95
 
