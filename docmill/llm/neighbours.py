@@ -17,15 +17,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docmill.sources.tables import discard, materialize
 
-#: Sorted orders, sign bits per order, vectors per block, neighbours kept.
-ORDERS, BITS, BLOCK, KEEP = 3, 24, 512, 10
+#: Sorted orders, sign bits per order, vectors per block, neighbours that a block gives, neighbours kept.
+ORDERS, BITS, BLOCK, GIVEN, KEEP = 4, 24, 1024, 6, 10
 #: Closest neighbours that a vector is introduced to, and members of a circle.
 FORWARD, CIRCLE = 10, 14
 #: Share of the lists that may still gain one of their closest FIRST neighbours in the last round; rounds and hops at most.
@@ -33,8 +32,9 @@ STILL, FIRST, ROUNDS, HOPS = 0.002, 5, 30, 30
 #: Vectors of each kind, drawn by hash, among which a search looks for its entry.
 ENTRIES = 2048
 
-#: A list: partners ``to``, best first, their cosines, and whether the last round brought them.
+#: A list: partners ``to``, best first, their cosines, and whether the last round brought them. Ahead of merging, one row for each.
 GRAPH = "vid long, sim array<float>, to array<long>, fresh array<boolean>"
+FOUND = "vid long, to long, sim float, fresh boolean"
 _NEAR = pa.list_(pa.struct([("sim", pa.float64()), ("vid", pa.int64())]))
 Batches = Iterator[pa.RecordBatch]
 
@@ -127,8 +127,8 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _lists(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int, fresh: np.ndarray | None = None) -> pa.RecordBatch:
-    """The best ``keep`` partners of each owner, each partner once (if it is given as fresh and not fresh, it is not)."""
+def _best(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """The best ``keep`` partners of each owner in order, each partner once (if it is given as fresh and not fresh, it is not)."""
     sim = sim.astype(np.float32)
     fresh = np.ones(len(owner), dtype=bool) if fresh is None else fresh
     order = np.lexsort((fresh, _mixed(owner, other), -sim, owner))
@@ -137,10 +137,11 @@ def _lists(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int, fre
     owner, other, sim, fresh = (x[once] for x in (owner, other, sim, fresh))
     head = np.flatnonzero(np.append(True, np.diff(owner) != 0)[: len(owner)])
     best = np.arange(len(owner)) - np.repeat(head, np.diff(np.append(head, len(owner)))) < keep
-    owner, other, sim, fresh = (x[best] for x in (owner, other, sim, fresh))
-    head = np.flatnonzero(np.append(True, np.diff(owner) != 0)[: len(owner)])
-    ends = pa.array(np.append(head, len(owner)).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(owner[head]), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (sim, other, fresh))], names=["vid", "sim", "to", "fresh"])
+    return tuple(x[best] for x in (owner, other, sim, fresh))
+
+
+def _rows(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, keep: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in _best(owner, other, sim, keep)], names=["vid", "to", "sim", "fresh"])
 
 
 def _whole_groups(key: str, run: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Batches], Batches]:
@@ -163,16 +164,16 @@ def _whole_groups(key: str, run: Callable[[pa.Table], pa.RecordBatch]) -> Callab
     return each
 
 
-def _merged(lists: DataFrame, keep: int) -> DataFrame:
-    """One list of each vector from several; they are made of at most one list per batch of the steps before, so no vector has unboundedly many."""
+def _merged(found: DataFrame, keep: int) -> DataFrame:
+    """One list of each vector. The steps before give at most ``keep`` rows of a vector in a batch, so no vector has unboundedly many."""
 
     def merge(table: pa.Table) -> pa.RecordBatch:
-        to = table.column("to").combine_chunks()
-        owner = np.repeat(table.column("vid").to_numpy(), pa.compute.list_value_length(to).to_numpy(zero_copy_only=False))
-        sim, fresh = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("sim", "fresh"))
-        return _lists(owner, to.flatten().to_numpy(), sim, keep, fresh.astype(bool))
+        owner, other, sim, fresh = _best(*(table.column(c).to_numpy() for c in ("vid", "to", "sim")), keep, table.column("fresh").to_numpy())
+        head = np.flatnonzero(np.append(True, np.diff(owner) != 0)[: len(owner)])
+        ends = pa.array(np.append(head, len(owner)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(owner[head]), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (sim, other, fresh))], names=["vid", "sim", "to", "fresh"])
 
-    return lists.repartition("vid").sortWithinPartitions("vid").mapInArrow(_whole_groups("vid", merge), GRAPH)
+    return found.select("vid", "to", "sim", "fresh").repartition("vid").sortWithinPartitions("vid").mapInArrow(_whole_groups("vid", merge), GRAPH)
 
 
 def _in_blocks(block: int, keep: int) -> Callable[[Batches], Batches]:
@@ -190,7 +191,7 @@ def _in_blocks(block: int, keep: int) -> Callable[[Batches], Batches]:
             np.fill_diagonal(sim, -2)
             most = min(keep, len(own) - 1)
             best = np.argpartition(-sim, most - 1, axis=1)[:, :most]
-            yield _lists(np.repeat(ids, most), ids[best].ravel(), np.take_along_axis(sim, best, 1).ravel(), most)
+            yield _rows(np.repeat(ids, most), ids[best].ravel(), np.take_along_axis(sim, best, 1).ravel(), most)
 
     def run(batches: Batches) -> Batches:
         held: list[pa.RecordBatch] = []
@@ -219,7 +220,7 @@ def first_graph(vectors: DataFrame, orders: int = ORDERS, block: int = BLOCK, ke
             .repartitionByRange("kind", "mark", "salt")
             .sortWithinPartitions("kind", "mark", "salt")
             .select("kind", "vid", "unit")
-            .mapInArrow(_in_blocks(block, min(keep, FORWARD)), GRAPH)
+            .mapInArrow(_in_blocks(block, min(keep, GIVEN)), FOUND)
         )
         found = part if found is None else found.unionAll(part)
     return _merged(found, keep)
@@ -248,7 +249,7 @@ def _introduce(circle: int, keep: int) -> Callable[[Batches], Batches]:
         a, b = at[g, i], at[g, j]
         sim = dots[g, i, j] * (scale[a] * scale[b])
         better = sim > worst[a]
-        return _lists(vid[a[better]], vid[b[better]], sim[better], keep)
+        return _rows(vid[a[better]], vid[b[better]], sim[better], keep)
 
     return _whole_groups("centre", compare)
 
@@ -274,10 +275,10 @@ def descend(graph: DataFrame, units: DataFrame, turn: int, forward: int = FORWAR
         .select("centre", "member", "fresh", "worst", "unit")
         .repartition("centre")
         .sortWithinPartitions("centre")
-        .mapInArrow(_introduce(circle, keep), GRAPH)
+        .mapInArrow(_introduce(circle, keep), FOUND)
     )
-    held = graph.select("vid", "sim", "to", F.transform("to", lambda _: F.lit(False)).alias("fresh"))
-    return _merged(held.unionAll(found), keep)
+    held = graph.select("vid", F.inline(F.arrays_zip("to", "sim"))).withColumn("fresh", F.lit(False))
+    return _merged(held.unionByName(found), keep)
 
 
 def _complete(graph: DataFrame, vectors: DataFrame, keep: int) -> DataFrame:
@@ -291,7 +292,7 @@ def _complete(graph: DataFrame, vectors: DataFrame, keep: int) -> DataFrame:
     a = short.join(vectors.select("vid", F.col("unit").alias("x")), "vid").select("kind", F.col("vid").alias("a"), "x")
     pairs = a.join(vectors.select("kind", F.col("vid").alias("b"), F.col("unit").alias("y")), "kind").where("a <> b").select("a", "b", "x", "y")
     rest = graph.join(short.select("vid"), "vid", "left_anti")
-    more = scored(pairs).select(F.col("a").alias("vid"), F.array(F.col("sim").cast("float")).alias("sim"), F.array("b").alias("to"), F.array(F.lit(True)).alias("fresh"))
+    more = scored(pairs).select(F.col("a").alias("vid"), F.col("b").alias("to"), F.col("sim").cast("float").alias("sim"), F.lit(True).alias("fresh"))
     return rest.unionAll(_merged(more, keep))
 
 
