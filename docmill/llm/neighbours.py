@@ -26,9 +26,9 @@ from docmill.sources.tables import discard, materialize
 #: Sorted orders, sign bits per order, vectors per block, neighbours that a block gives, neighbours kept.
 ORDERS, BITS, BLOCK, GIVEN, KEEP = 4, 24, 1024, 6, 10
 #: Closest neighbours that a vector is introduced to, and members of a circle.
-FORWARD, CIRCLE = 10, 14
+FORWARD, CIRCLE = 8, 13
 #: Share of the lists that may still gain one of their closest FIRST neighbours in the last round; rounds and hops at most.
-STILL, FIRST, ROUNDS, HOPS = 0.002, 5, 30, 30
+STILL, FIRST, ROUNDS, HOPS = 0.001, 5, 30, 30
 #: Vectors of each kind, drawn by hash, among which a search looks for its entry.
 ENTRIES = 2048
 
