@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.functions.text import SPACE, TOKEN, strip_spaces
+from docmill.functions.text import SPACE, TOKEN
 from docmill.llm import language, lookalike, neardup, neighbours, packing, splitting, stuffing, tokenizing
 from docmill.sources.tables import materialize, table
 
@@ -175,8 +175,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's place in the containers of each capacity; copies and one source are kept apart where that costs no space."""
-    text = F.lower(strip_spaces(F.col("text")))
+    """Every document's place in the containers of each capacity; copies (case, spaces and signs aside) and one source are kept apart."""
+    text = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "")
     documents = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("item_id"), "source", F.when(F.length(text) > 0, F.xxhash64(text)).alias("cluster"), "text"
     )

@@ -55,3 +55,21 @@ def test_stuffed_pages(spark):
     got = {r["doc_id"] for r in stuffing.stuffed_share(df, "doc_id", "text").where("share > 0.5").collect()}
     assert got == {0, 3, 8}
     assert stuffing.stuffed_share(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_conflicts_are_only_those_that_must_be():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(50, 1500, 3000)
+    sources = np.where(np.arange(3000) % 3 == 0, 0, rng.integers(1, 200, 3000))  # a third of one source
+    clusters = np.where(np.arange(3000) % 10 == 0, rng.integers(10**6, 10**6 + 40, 3000), np.arange(3000))
+    for cap in (1500, 8192):
+        where, clash = packing.best_fit(sizes, sources, clusters, cap)
+        assert np.bincount(where, weights=sizes).max() <= cap
+        needed = -(-int(sizes.sum()) // cap)
+        assert where.max() + 1 <= needed * 1.03 + 2
+        for names in (sources, clusters):
+            pairs, count = np.unique(np.stack([where, names]), axis=1, return_counts=True)
+            of, total = np.unique(names, return_counts=True)
+            most = -(-total // needed)
+            assert (count <= most[np.searchsorted(of, pairs[1])]).all()
+        assert clash.sum() == 0 if cap == 1500 else clash.sum() <= 1000 - needed * 0.5
