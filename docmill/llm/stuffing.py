@@ -8,7 +8,8 @@ unnaturally regular. From all texts follow the promotion terms: those that stand
 A segment that is a list of nouns with such terms and without the words of sentences is stuffed as well, and so
 are links. A text of which more than half is stuffed is found.
 
-All of it is numpy over whole batches inside two narrow maps; only counts of terms are shuffled.
+All of it is numpy over whole batches: one narrow map measures the texts and writes segments and terms; from these come the counts of
+terms, the only thing that is shuffled, and the shares.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.sources.tables import materialize
+
+Batches = Iterator[pa.RecordBatch]
+
 #: Letters that are compared, groups of letters and terms that count as recurring, for scripts without and with spaces.
 WIDE, WIDE_LAGS, NARROW, NARROW_LAGS, TERM_LAGS = 3, 20, 5, 40, 10
 #: Pairs of letters of scripts without spaces count at the shortest gaps.
@@ -31,10 +36,10 @@ PAIR_LAGS = 8
 EVEN_GAPS, EVEN_SPREAD = 4, 0.5
 #: Length of a segment at most; share of recurring letters of a regular one; share of the text that makes a case.
 SEGMENT, REGULAR, CASE = 240, 0.45, 0.5
-#: A promotion term stands in regular segments this often, in so many texts, and is this share of all regular segments' texts at least.
-PROMO, PROMO_TEXTS, PROMO_SHARE = 0.8, 5, 0.004
-#: Terms of a list that are promotion, at least; words of sentences (a term's place outside regular segments in this share of texts), at most.
-LIST_PROMO, LIST_WORDS, WORD_SHARE = 0.12, 0.12, 0.04
+#: A promotion term stands in regular segments this often, in so many texts at least, and in this share of the texts that have any.
+PROMO, PROMO_TEXTS, PROMO_SHARE = 0.8, 5, 0.0007
+#: Terms of a list that are promotion, at least, and words of sentences, at most; a word stands outside regular segments in this share of the texts that have such.
+LIST_PROMO, LIST_WORDS, WORD_SHARE = 0.12, 0.12, 0.0195
 #: Letters handled at once.
 CHUNK = 1 << 21
 
@@ -158,16 +163,6 @@ class Page:
         self.regular = (np.bincount(xs, weights=hit, minlength=self.count) >= REGULAR * letters) & (letters >= 6)
         self.letters = letters
 
-    def stuffed(self, promo: np.ndarray, words: np.ndarray, texts: int) -> np.ndarray:
-        """Share of each text that is stuffed, given the sorted hashes of promotion terms and of words of sentences."""
-        terms = np.bincount(self.term_seg, minlength=self.count)
-        has = lambda known: np.bincount(self.term_seg, weights=np.isin(self.term, known), minlength=self.count)
-        lists = (has(promo) >= LIST_PROMO * terms) & (has(words) <= LIST_WORDS * terms) & (terms >= 2)
-        whole = self.regular | lists | (self.link >= 0.6 * self.visible)
-        part = np.where(whole, self.visible, self.link)
-        total = np.bincount(self.text, weights=self.visible, minlength=texts)
-        return np.bincount(self.text, weights=part, minlength=texts) / np.maximum(total, 1)
-
 
 def _pages(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     texts = [t or "" for t in batch.column("__text").to_pylist()]
@@ -181,61 +176,92 @@ def _pages(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
         yield batch.slice(start), texts[start:]
 
 
-def term_counts(df: DataFrame, text: str) -> DataFrame:
-    """(term, inside, outside, texts_in, texts_out): places of every term in regular segments and elsewhere, over all texts."""
+def measured(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, visible, link, regular, terms, segs): of every text the visible characters, link characters and regularity of its segments, and its terms with their segments."""
+    schema = f"`{key}` {dict(df.dtypes)[key]}, visible array<int>, link array<int>, regular array<boolean>, terms array<long>, segs array<int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for whole in batches:
-            for _, texts in _pages(whole):
+            for part, texts in _pages(whole):
                 p = Page(texts)
-                if not len(p.term):
-                    continue
-                term, at = np.unique(p.term, return_inverse=True)
-                inside = p.regular[p.term_seg]
-                texts_of = []
-                for side in (inside, ~inside):
-                    pairs = np.unique(at[side].astype(np.int64) * len(texts) + p.term_text[side])
-                    texts_of.append(np.bincount(pairs // len(texts), minlength=len(term)))
-                n_in = np.bincount(at, weights=inside, minlength=len(term)).astype(np.int64)
-                n = np.bincount(at, minlength=len(term))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (term, n_in, n - n_in, *texts_of)], names=["term", "inside", "outside", "texts_in", "texts_out"]
-                )
+                n = len(texts)
+                segments, terms = (np.bincount(x, minlength=n) if p.count else np.zeros(n, dtype=np.int64) for x in (p.text, p.term_text))
+                by_segment, by_term = (pa.array(np.append(0, np.cumsum(x)).astype(np.int32)) for x in (segments, terms))
+                own = p.term_seg - (np.cumsum(segments) - segments)[p.term_text]
+                lists = [(by_segment, p.visible.astype(np.int32)), (by_segment, p.link.astype(np.int32)), (by_segment, p.regular), (by_term, p.term), (by_term, own.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(key), *(pa.ListArray.from_arrays(o, pa.array(v)) for o, v in lists)], names=[key, "visible", "link", "regular", "terms", "segs"])
+
+    return df.select(key, df[text].alias("__text")).mapInArrow(run, schema)
+
+
+def _flat(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in names]
+
+
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of measured texts: the text of each segment, and the text and segment of each term."""
+    segments, terms = (np.diff(batch.column(c).offsets.to_numpy()) for c in ("visible", "terms"))
+    texts = np.arange(batch.num_rows)
+    of = np.repeat(texts, terms)
+    return np.repeat(texts, segments), of, (np.cumsum(segments) - segments)[of] + _flat(batch, "segs")[0]
+
+
+def term_counts(pages: DataFrame) -> DataFrame:
+    """(term, inside, outside, texts_in, texts_out): places of every term in regular segments and elsewhere, over all measured texts."""
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            terms, regular = _flat(b, "terms", "regular")
+            if not len(terms):
+                continue
+            _, text, segment = _places(b)
+            term, at = np.unique(terms, return_inverse=True)
+            inside = regular.astype(bool)[segment]
+            texts_of = []
+            for side in (inside, ~inside):
+                pairs = np.unique(at[side].astype(np.int64) * b.num_rows + text[side])
+                texts_of.append(np.bincount(pairs // b.num_rows, minlength=len(term)))
+            n_in = np.bincount(at, weights=inside, minlength=len(term)).astype(np.int64)
+            n = np.bincount(at, minlength=len(term))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (term, n_in, n - n_in, *texts_of)], names=["term", "inside", "outside", "texts_in", "texts_out"]
+            )
 
     names = ("inside", "outside", "texts_in", "texts_out")
-    mapped = df.select(df[text].alias("__text")).mapInArrow(run, "term long, " + ", ".join(f"{n} long" for n in names))
+    mapped = pages.select("visible", "regular", "terms", "segs").mapInArrow(run, "term long, " + ", ".join(f"{n} long" for n in names))
     return mapped.groupBy("term").agg(*(F.sum(n).alias(n) for n in names))
 
 
-def word_lists(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def word_lists(pages: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of promotion terms and of words of sentences.
 
-    Both are shares of the texts, so the lists are of bounded size (a share of 0.004 can be reached by 250 times the terms of a text), however large the corpus.
+    Both must stand in a share of the texts, so what reaches the driver is bounded by the terms of a text over that share, however large the corpus.
     """
-    counts = counts.cache()
-    most = counts.agg(F.max("texts_in").alias("i"), F.max("texts_out").alias("o")).first()
-    high_in, high_out = most["i"] or 0, most["o"] or 0
-    promo = counts.where(
-        (F.col("inside") >= PROMO * (F.col("inside") + F.col("outside"))) & (F.col("texts_in") >= max(PROMO_TEXTS, PROMO_SHARE * high_in))
-    )
-    words = counts.where((F.col("texts_out") >= max(PROMO_TEXTS, WORD_SHARE * high_out)) & (F.col("inside") < 0.3 * (F.col("inside") + F.col("outside"))))
-    found = tuple(np.sort(np.array([r["term"] for r in x.select("term").collect()], dtype=np.int64)) for x in (promo, words))
-    counts.unpersist()
-    return found
+    texts = pages.agg(F.count_if(F.exists("regular", lambda r: r)).alias("regular"), F.count_if(F.exists("regular", lambda r: ~r)).alias("plain")).first()
+    both = F.col("inside") + F.col("outside")
+    promo = (F.col("inside") >= PROMO * both) & (F.col("texts_in") >= max(PROMO_TEXTS, PROMO_SHARE * texts["regular"]))
+    word = (F.col("texts_out") >= max(PROMO_TEXTS, WORD_SHARE * texts["plain"])) & (F.col("inside") < 0.3 * both)
+    rows = term_counts(pages).select("term", promo.alias("promo"), word.alias("word")).where("promo or word").collect()
+    return tuple(np.sort(np.array([r["term"] for r in rows if r[kind]], dtype=np.int64)) for kind in ("promo", "word"))
 
 
 def stuffed_share(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, share): how much of each text is keywords, links or tags, from 0 to 1.
 
-    A null, empty or blank text has share 0. Repeated rows are kept; other columns are ignored.
+    A null, empty or blank text has share 0. Repeated rows are kept; other columns are ignored. Texts are measured once, into a written table.
     """
-    promo, words = word_lists(term_counts(df, text))
+    pages = materialize(measured(df, key, text), "pages")
+    promo, words = word_lists(pages)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part, texts in _pages(whole):
-                p = Page(texts)
-                share = p.stuffed(promo, words, len(texts)) if p.count else np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(share, type=pa.float64())], names=[key, "share"])
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            visible, link, regular, terms = _flat(b, "visible", "link", "regular", "terms")
+            of_segment, _, segment = _places(b)
+            n = len(visible)
+            count, has_promo, has_words = (np.bincount(segment, weights=w, minlength=n) for w in (None, np.isin(terms, promo), np.isin(terms, words)))
+            lists = (has_promo >= LIST_PROMO * count) & (has_words <= LIST_WORDS * count) & (count >= 2)
+            part = np.where(regular.astype(bool) | lists | (link >= 0.6 * visible), visible, link)
+            total, stuffed = (np.bincount(of_segment, weights=w, minlength=b.num_rows) for w in (visible, part))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(stuffed / np.maximum(total, 1))], names=[key, "share"])
 
-    return df.select(key, df[text].alias("__text")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, share double")
+    return pages.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, share double")
