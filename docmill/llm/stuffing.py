@@ -35,7 +35,7 @@ PAIR_LAGS = 8
 #: Gaps between equal terms or groups at any distance are even if there are so many and their deviation is at most this share of their mean.
 EVEN_GAPS, EVEN_SPREAD = 4, 0.5
 #: Length of a segment at most; share of recurring letters of a regular one; share of the text that makes a case.
-SEGMENT, REGULAR, CASE = 240, 0.45, 0.5
+SEGMENT, REGULAR, CASE = 240, 0.40, 0.5
 #: A promotion term stands in regular segments this often, in so many texts at least, and in this share of the texts that have any.
 PROMO, PROMO_TEXTS, PROMO_SHARE = 0.8, 5, 0.0007
 #: Terms of a list that are promotion, at least, and words of sentences, at most; a word stands outside regular segments in this share of the texts that have such.
