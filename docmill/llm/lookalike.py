@@ -4,9 +4,9 @@ In order: compatibility normalization by the Unicode tables (raised, lowered, ci
 digits keep their form), canonical composition, deletion of ignorable characters, one plain space for
 any run of spaces; then letters, digits and signs that several parts of Unicode draw alike. For
 these each token is a lattice: every place holds all members of its look-alike class. Viterbi search takes the
-path that is best under character pair scores within one script, with a penalty for changing the script.
+path that is best under the pair scores of all letters that stand beside a member, within one script, with a penalty for changing the script.
 The lattice depends on the look only, so equal looks give equal strings, and members of
-different classes never meet, so visible differences stay.
+different classes never meet, so visible differences stay; which member is written follows from the path alone.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.sources.tables import materialize
+
 #: Classes of letters and signs that fonts draw alike, the usual member first.
 CLASSES = (
     "aаɑα eе oоοօ pрρ cсϲ yу xх sѕ iіι jјϳ hһհ dԁ qԛ wԝ vνѵ uսυ nո gɡց lӏ kκ "
@@ -36,11 +38,9 @@ SWITCH, SMOOTH = 12.0, 0.5
 
 _CLASS_OF = {c: k for k in CLASSES for c in k}
 _FOLD = str.maketrans({c: k[0] for k in CLASSES for c in k[1:]})
-#: All members, for pair counts; the table of pairs is at most this number squared.
 MEMBERS = sorted(_CLASS_OF)
-_NUMBER = np.full(0x10000, -1, dtype=np.int16)
-for _i, _c in enumerate(MEMBERS):
-    _NUMBER[ord(_c)] = _i
+_IS_MEMBER = np.zeros(0x10000, dtype=bool)
+_IS_MEMBER[[ord(c) for c in MEMBERS]] = True
 #: A token from its first letter that has look-alikes, or from letters of scripts that mix with them.
 _FIRST = "".join(k[0] for k in CLASSES if k[0].isalpha())
 _TOKEN = re.compile(rf"[Ͱ-ϿЀ-ԯ԰-֏Ꭰ-Ᏼꓐ-꓿ァ-ヺ]*[{_FIRST}][^\W_]*")
@@ -164,25 +164,23 @@ class Lattice:
 
 
 def pair_counts(texts: DataFrame, column: str) -> dict[str, int]:
-    """How often two members of look-alike classes adjoin, over all texts.
+    """How often two letters or signs adjoin of which one at least is a member of a look-alike class, over all texts.
 
-    Counted in the tasks; what reaches the driver is at most the number of members squared, however large the corpus.
+    Counted in the tasks, once for each batch; what reaches the driver is at most the number of members times the alphabets in use, however
+    large the corpus. Characters beyond the basic plane have no look-alikes and count as one.
     """
-    size = len(MEMBERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, dtype=np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    n = _NUMBER[np.minimum(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF)].astype(np.int64)
-                    both = (n[:-1] >= 0) & (n[1:] >= 0)
-                    total += np.bincount(n[:-1][both] * size + n[1:][both], minlength=size * size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+            # a line end between texts, so that no pair spans two
+            code = np.frombuffer("\n".join(t for t in b.column(0).to_pylist() if t).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            code = np.minimum(code, 0xFFFF).astype(np.int64)
+            near = (_IS_MEMBER[code[:-1]] | _IS_MEMBER[code[1:]]) & (code[:-1] > 32) & (code[1:] > 32)
+            pair, n = np.unique(code[:-1][near] << 16 | code[1:][near], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
 
     rows = texts.select(column).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    return {MEMBERS[r["pair"] // size] + MEMBERS[r["pair"] % size]: r["n"] for r in rows}
+    return {chr(r["pair"] >> 16) + chr(r["pair"] & 0xFFFF): r["n"] for r in rows}
 
 
 def add_form(df: DataFrame, text: str, pairs: dict[str, int], out: str = "form") -> DataFrame:
@@ -202,21 +200,20 @@ def add_form(df: DataFrame, text: str, pairs: dict[str, int], out: str = "form")
     return df.mapInArrow(run, schema)
 
 
-def same_look(formed: DataFrame, scope: str, key: str, text: str, form: str = "form") -> DataFrame:
-    """Pairs (key_a, key_b) of one scope whose forms are equal but whose stored texts are not.
+def looks(formed: DataFrame, scope: str, key: str, text: str, *keep: str, form: str = "form") -> DataFrame:
+    """(look, look2, stored, key, ...): hashes of each row's look within its scope and of its stored text; texts without visible characters are left out."""
+    return formed.where(F.length(form) > 0).select(
+        F.xxhash64(scope, form, *keep).alias("look"), F.xxhash64(F.reverse(form), F.length(form), scope, *keep).alias("look2"), F.xxhash64(text, F.length(text)).alias("stored"), F.col(key).alias("key"), *keep
+    ).distinct()
+
 
-    Only hashes travel. A look that is stored one way alone is dropped before the join, so copies cost nothing; the
-    join is on distinct stored texts, and their keys come in last.
+def same_look(formed: DataFrame, scope: str, key: str, text: str, *keep: str) -> DataFrame:
+    """Pairs (key_a, key_b) of one scope, and of equal ``keep`` columns, whose forms are equal but whose stored texts are not.
+
+    The looks are written once. One that is stored one way alone is dropped before the join, so copies cost nothing; the join is on hashes.
     """
-    rows = formed.where(F.length(form) > 0).select(
-        F.xxhash64(scope, form).alias("look"), F.xxhash64(F.reverse(form), F.length(form), scope).alias("look2"), F.xxhash64(text, F.length(text)).alias("stored"), key
-    ).distinct()
+    rows = materialize(looks(formed, scope, key, text, *keep), "looks")
     several = rows.groupBy("look", "look2").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("look", "look2")
     rows = rows.join(several, ["look", "look2"])
-    a, b = rows.withColumnRenamed(key, "a"), rows.select("look", "look2", F.col("stored").alias("other"), F.col(key).alias("b"))
-    return (
-        a.join(b, ["look", "look2"])
-        .where("stored <> other and a < b")
-        .select(F.col("a").alias("key_a"), F.col("b").alias("key_b"))
-        .distinct()
-    )
+    a, b = rows.withColumnRenamed("key", "key_a"), rows.select("look", "look2", F.col("stored").alias("other"), F.col("key").alias("key_b"))
+    return a.join(b, ["look", "look2"]).where("stored <> other and key_a < key_b").select(*keep, "key_a", "key_b").distinct()

@@ -77,14 +77,19 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.add_form(shown, "text", pairs).select("kind", "key", "form").distinct()
 
 
+def p3_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block (within its document) and chunk that has a look: kind, key, and the look's id, so equal looks are a class; one row per row."""
+    shown = _shown(spark, sf_dir).where("kind <> 'quote'")
+    formed = lookalike.add_form(shown, "text", lookalike.pair_counts(_shown(spark, sf_dir), "text"))
+    return lookalike.looks(formed, "scope", "key", "text", "kind").select("kind", "key", "look").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that look the same but are stored differently."""
     shown = _shown(spark, sf_dir)
     pairs = lookalike.pair_counts(shown, "text")
-    found = [
-        lookalike.same_look(lookalike.add_form(shown.where(F.col("kind") == k), "text", pairs), "scope", "key", "text").select(F.lit(k).alias("kind"), "key_a", "key_b")
-        for k in ("block", "chunk")
-    ]
+    formed = lookalike.add_form(shown.where("kind <> 'quote'"), "text", pairs)
+    found = lookalike.same_look(formed, "scope", "key", "text", "kind")
     quotes = lookalike.add_form(table(spark, sf_dir, "quotes").select("quote_id", "chunk_id", "quote").distinct(), "quote", pairs).where(F.length("form") > 0)
     quoted = table(spark, sf_dir, "chunks").select("chunk_id", "body").join(quotes.select("chunk_id").distinct(), "chunk_id", "left_semi").distinct()
     bodies = lookalike.add_form(quoted, "body", pairs, "body_form")
@@ -94,7 +99,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.lit("quote").alias("kind"), F.col("quote_id").alias("key_a"), F.col("chunk_id").alias("key_b"))
         .distinct()
     )
-    return found[0].unionAll(found[1]).unionAll(passages)
+    return found.unionAll(passages)
 
 
 def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +208,7 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p3_looks": p3_looks,
     "p4_found": p4_found,
     "p4_languages": p4_languages,
     "p5_found": p5_found,

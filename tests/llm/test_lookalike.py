@@ -28,3 +28,21 @@ def test_pairs_and_edges(spark):
     assert {tuple(r) for r in L.same_look(formed, "scope", "key", "text").collect()} == {("1", "2"), ("2", "3")}
     assert L.same_look(formed.limit(0), "scope", "key", "text").count() == 0
     assert L.add_form(df.select("text"), "text", {}).where("text is null").first()["form"] is None
+
+
+def test_the_path_decides_by_letters_around(spark):
+    """All letters of these tokens have look-alikes or stand in both corpora: what is written follows from the counted pairs alone."""
+    latin = spark.createDataFrame([("score scope copper sport",)] * 3, "text string")
+    cyrillic = spark.createDataFrame([("сорок просо спорт",)] * 3, "text string")
+    a, b = (L.Lattice(L.pair_counts(x, "text")) for x in (latin, cyrillic))
+    assert a.form("сор") == a.form("cop") == "cop" and b.form("сор") == b.form("cop") == "сор"
+    # a letter without look-alikes is evidence: Cyrillic л before, Latin r after
+    both = L.Lattice(L.pair_counts(latin.unionAll(cyrillic).unionAll(spark.createDataFrame([("лось", ), ("core",)], "text string")), "text"))
+    assert both.form("лoc") == "лос" and both.form("сorr") == "corr"
+
+
+def test_looks_give_one_row_a_row(spark):
+    rows = [("d", str(i), t) for i, t in enumerate(["A-1", "A‐1", "A-1", "B", None])]
+    df = spark.createDataFrame(rows, "scope string, key string, text string")
+    got = L.looks(L.add_form(df, "text", {}), "scope", "key", "text").collect()
+    assert len(got) == 4 and len({r["look"] for r in got}) == 2
