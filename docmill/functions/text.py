@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 #: The characters for which Python's str.isspace() holds, as a regex class body.
 #: Java's and RE2's \s know ASCII only, so it is spelled out for both engines.
@@ -54,6 +57,23 @@ def char_grams(text: Column, n: int = 3) -> Column:
     return F.transform(F.array(strip_spaces(text)), pieces)[0]
 
 
+_BLANK = np.array([i for i in range(0x3001) if chr(i).isspace()], dtype=np.uint32)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def piece_numbers(texts: pd.Series) -> pd.Series:
+    """The distinct 3-character pieces of texts without white space as numbers (21 bits a character, so no two pieces share one); empty for shorter texts, null for null."""
+
+    def of(text: str | None) -> np.ndarray | None:
+        if text is None:
+            return None
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        c = c[~np.isin(c, _BLANK)].astype(np.int64)
+        return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]) if len(c) > 2 else c[:0]
+
+    return texts.map(of)
+
+
 def gram_overlap(query: Column, text: Column) -> Column:
     """Share of the query's pieces that the text has; 0 without any."""
     def share(g: Column) -> Column:
@@ -111,42 +131,44 @@ def estimated_tokens(length: Column) -> Column:
     return F.ceil(length / 1.6).cast("long")
 
 
-#: Words in a file's name that tell its type, in order of precedence.
-TYPE_HINTS = (
-    ("manual", ("manual", "매뉴얼")),
-    ("guide", ("입찰", "안내서")),
-    ("paper", ("survey", "논문", "paper")),
-    ("policy", ("취업규칙", "사규")),
-    ("law", ("법", "시행령", "별표")),
-    ("certificate", ("수료증", "certificate")),
-    ("budget", ("예산", "budget")),
-)
-TYPES = ("manual", "policy", "law", "guide", "paper", "certificate", "budget", "other")
+#: Fixed value: the pattern of a question about several documents.
+COMPARISON = r"비교|차이|각각|공통|서로|두\s*(?:문서|파일)|여러\s*(?:문서|파일)|compare|difference|both|each\s+(?:document|file)"
 
 
-def document_type(generated: Column, source: Column) -> Column:
-    """The first hint in the file's name, else the generated type if it is a known one, else other."""
-    low = F.lower(source)
-    out = None
-    for kind, words in TYPE_HINTS:
-        has = low.rlike("|".join(words))
-        out = F.when(has, kind) if out is None else out.when(has, kind)
-    value = F.lower(F.coalesce(generated, F.lit("other")))
-    return out.otherwise(F.when(value.isin(*TYPES), value).otherwise("other"))
+def is_comparison(question: Column) -> Column:
+    """Whether a question asks about several documents."""
+    return F.lower(question).rlike(COMPARISON)
 
 
-#: Words of a question about several documents.
-COMPARISON = ("비교", "차이", "각각", "공통", "서로", r"두\s*(?:문서|파일)", r"여러\s*(?:문서|파일)", "compare", "difference", "both", r"each\s+(?:document|file)")
+#: Scripts written without spaces between all words, and the letters of the others, as classes of a regular expression in both engines.
+DENSE = "가-힣぀-ヿ㐀-䶿一-鿿"
+TERM = f"[{DENSE}]+|[0-9]+|[a-zß-öø-ɏͰ-Ͽа-ӿ]+"
 
 
-def is_comparison(question: Column) -> Column:
-    """Whether a question asks about several documents."""
-    return F.lower(question).rlike("|".join(COMPARISON))
+def terms(text: Column) -> Column:
+    """Search terms in order, repeated ones too: runs of digits and of letters in lower case, accents kept; of Hangul, Han and kana
+    runs the overlapping pairs (a run of one as it is), so a word is met inside a compound or ahead of a particle."""
 
+    def pairs(run: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
+        return F.when(run.rlike(f"^[{DENSE}]") & (F.length(run) > 1), each).otherwise(F.array(run))
 
-def terms(text: Column) -> Column:
-    """Search terms, repeated ones too: runs of Latin letters, of digits and of Hangul, in lower case; the default analyzer."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+|[0-9]+|[가-힣]+"), F.lit(0))
+    return F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), pairs))
+
+
+def phrase_frequency(wanted: Column, found: Column, slop: int = 2) -> Column:
+    """How often an array of terms holds another as a phrase, within ``slop`` places: each window counts 1 / (1 + its width).
+
+    The places of every wanted term, less its own place in the phrase, must all fall into a window that starts with one of them.
+    """
+    places = F.transform(wanted, lambda w, i: F.filter(F.transform(found, lambda t, p: F.when(t == w, p - i)), lambda x: x.isNotNull()))
+
+    def widths(at: Column) -> Column:
+        starts = F.array_distinct(F.flatten(at))
+        far = F.transform(starts, lambda b: F.array_max(F.transform(at, lambda own: F.coalesce(F.array_min(F.filter(own, lambda x: x >= b)) - b, F.lit(slop + 1)))))
+        return F.aggregate(F.filter(far, lambda x: x <= slop), F.lit(0.0), lambda a, x: a + 1.0 / (1 + x))
+
+    return F.coalesce(F.transform(F.array(places), widths)[0], F.lit(0.0))
 
 
 def normalize_citations(text: Column) -> Column:
@@ -172,11 +194,55 @@ def keep_known(text: Column, most: int) -> Column:
     return F.array_join(F.transform(parts, fixed), "")
 
 
+def sentences(text: Column) -> Column:
+    """Array of (n, sentence) of an answer: lines, cut after each citation that follows a sentence's end; those with a letter, numbered from 1."""
+    cut = F.regexp_replace(text, rf"([.!?。][ \t]*(?:{CITE}[ \t]*)+)", "$1\n")
+    shown = F.filter(F.transform(F.split(cut, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"\p{L}"))
+    return F.transform(shown, lambda x, i: F.struct((i + 1).alias("n"), x.alias("sentence")))
+
+
 def claims_cited(text: Column) -> Column:
-    """Whether every sentence has a citation; false for a text without any."""
-    attached = F.regexp_replace(text, r"([.!?。])\s*(\[cite:[^\]]+\])", "$1$2")
-    claims = F.filter(F.split(attached, r"(?<=\])\s+|(?<=[.!?。])\s+|\n+"), lambda c: F.trim(c) != "")
-    return (F.size(claims) > 0) & F.forall(claims, lambda c: c.rlike(CITE))
+    """Whether every line or sentence, as :func:`sentences` cuts them, has a citation; false for a text without any."""
+    each = sentences(text)
+    return (F.size(each) > 0) & F.forall(each, lambda s: s["sentence"].rlike(CITE))
+
+
+def single_citation(text: Column) -> Column:
+    """The text with its citations taken out and one with all their numbers, ascending, at its end; without any it stays as it is."""
+    numbers = cited_numbers(text)
+    bare = F.rtrim(F.regexp_replace(text, rf"[ \t]*{CITE}", ""))
+    return F.when(F.size(numbers) > 0, F.concat(bare, F.lit(" [cite:"), F.array_join(numbers, ","), F.lit("]"))).otherwise(text)
+
+
+def given_order(text: Column, n: Column) -> Column:
+    """The numbers 1 to ``n`` in the order that the first bracketed list of a model's output gives; missing ones follow, repeated and foreign ones go."""
+    first = F.regexp_extract(text, r"\[([\d,\s]*)\]", 1)
+    named = F.transform(F.regexp_extract_all(first, F.lit(r"\d+"), F.lit(0)), lambda x: F.try_to_number(x, F.lit("999999999")).cast("int"))
+    known = F.coalesce(F.array_distinct(F.filter(named, lambda x: (x >= 1) & (x <= n))), F.array().cast("array<int>"))
+    rest = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda x: (x <= n) & ~F.array_contains(known, x))
+    return F.concat(known, rest)
+
+
+def first_object(text: Column, schema: str) -> Column:
+    """The first flat JSON object of a model's output as a struct; null if there is none that can be read."""
+    return F.from_json(F.regexp_extract(text, r"\{[^{}]*\}", 0), schema)
+
+
+def excerpt(query: Column, text: Column, lines: int = 4, around: int = 1, most: int = 600) -> Column:
+    """The lines of a text that hold most terms of a query, with their neighbours and the first two lines, in order, ``most`` characters at most.
+
+    Terms are runs of two or more Hangul, Latin letters or digits. Of equal lines the later one counts more; a line without a term never does.
+    """
+    asked = F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit("[가-힣a-z0-9]{2,}"), F.lit(0)))
+
+    def shown(x: Column) -> Column:
+        scores = F.transform(x["l"], lambda line, i: F.struct(F.size(F.filter(x["q"], lambda t: F.contains(F.lower(line), t))).alias("n"), i.alias("i")))
+        best = F.slice(F.reverse(F.array_sort(F.filter(scores, lambda s: s["n"] > 0))), 1, lines)
+        keep = lambda i: (i < 2) | F.exists(best, lambda b: F.abs(b["i"] - i) <= around)
+        kept = F.filter(F.transform(x["l"], lambda line, i: F.when(keep(i), line)), lambda line: line.isNotNull())
+        return F.substring(F.array_join(kept, "\n"), 1, most)
+
+    return F.transform(F.array(F.struct(asked.alias("q"), F.split(text, "\n").alias("l"))), shown)[0]
 
 
 def ndcg(gains: Column, n_relevant: Column, k: int) -> Column:

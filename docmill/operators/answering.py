@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from docmill.functions.text import strip_spaces
+
 
 def budget_prefix(hits: DataFrame, size: Column, budget: int) -> DataFrame:
     """Ranked hits (query_id, rank) up to the first that would exceed the budget."""
@@ -38,51 +39,53 @@ def budget_skip(hits: DataFrame, size: Column, budget: int) -> DataFrame:
     return hits.join(taken, ["query_id", "rank"])
 
 
-def compact(text: str) -> str:
-    return "".join(unicodedata.normalize("NFKC", text).split())
-
-
-def quote_exists(quote: str | None, source: str | None) -> bool:
-    """Whether a quote, compatibility-normalized and without spaces, is in the source.
-
-    Under six characters (or the source's length) it must have a letter and be a whole line. Null or empty: false.
-    """
-    needle, whole = compact(quote or ""), compact(source or "")
-    if not needle or needle not in whole:
-        return False
-    if len(needle) >= min(6, len(whole)):
-        return True
-    return any(c.isalpha() for c in needle) and any(needle == compact(line) for line in (source or "").splitlines())
+#: Characters that an embedder is not shown.
+HIDDEN = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0xFEFF])
 
 
-@F.pandas_udf(BooleanType())
-def quote_exists_udf(quotes: pd.Series, sources: pd.Series) -> pd.Series:
-    return pd.Series([quote_exists(q, s) for q, s in zip(quotes, sources)])
+@F.pandas_udf(StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """The compatibility form (NFKC), for which Spark has no function; null stays null, ASCII as it is."""
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
 @F.pandas_udf(StringType())
 def normalized(texts: pd.Series) -> pd.Series:
     """Compatibility-normalized, without invisible characters, white space single: what an embedder is given."""
-    hidden = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0xFEFF])
-    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).translate(hidden).split()))
+    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).translate(HIDDEN).split()))
 
 
-def grounded_terms(rows: DataFrame, key: str, body: str, *lists: str) -> DataFrame:
-    """Rows with each array column cut to the entries whose compact form is in the compact body. Null arrays stay null; null bodies hold nothing."""
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    names = rows.columns
+def forms(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """``rows`` with the compatibility form of a column, made once for each distinct text and joined by it."""
+    once = rows.select(text).where(F.col(text).isNotNull()).distinct().withColumn(out, compatible(F.col(text)))
+    return rows.join(once, text, "left")
+
+
+def quote_found(quote: Column, body: Column) -> Column:
+    """Whether a quote is in a body, both in compatibility form and spaces aside.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            whole = [compact(b) if b is not None else "" for b in pdf[body]]
-            for c in lists:
-                pdf[c] = [None if x is None else [t for t in x if t and compact(t) and compact(t) in w] for x, w in zip(pdf[c], whole)]
-            yield pdf[names]
+    Under six characters (or the body's length, if that is less) it must have a letter and be a whole line. Null or empty: false.
+    """
+    bare, whole = strip_spaces(F.coalesce(quote, F.lit(""))), strip_spaces(F.coalesce(body, F.lit("")))
+    line = F.exists(F.split(F.coalesce(body, F.lit("")), r"\R|[\x0b\x0c\x1c-\x1e]"), lambda x: strip_spaces(x) == bare)
+    short = F.length(bare) < F.least(F.lit(6), F.length(whole))
+    return (bare != "") & F.contains(whole, bare) & (~short | (bare.rlike(r"\p{L}") & line))
 
-    del key
-    return rows.mapInPandas(run, ", ".join(f"`{n}` {types[n]}" for n in names))
 
+def grounded_terms(rows: DataFrame, key: str, body: str, *lists: str) -> DataFrame:
+    """Rows with each array column cut to the entries that the body holds, both in compatibility form and spaces aside. Null arrays stay null; null bodies hold nothing.
 
-def refusal(hits: Column, degraded: Column, top_score: Column, least: float = 0.78) -> Column:
-    """Why a question is refused ahead of answering: no hits, a vector leg that failed, too low a score; null if it isn't."""
-    return F.when(hits == 0, "no_hits").when(F.exists(degraded, lambda d: d.startswith("knn")), "search_degraded").when(F.coalesce(top_score, F.lit(0.0)) < least, "low_confidence")
+    Bodies and entries are normalized once for each distinct text. ``key`` names the rows; repeated ones must be given once.
+    """
+    whole = forms(rows.select(key, body), body, "__form").select(key, strip_spaces(F.coalesce("__form", F.lit(""))).alias("__whole"))
+    out = rows
+    for c in lists:
+        each = rows.where(F.col(c).isNotNull()).select(key, F.posexplode(c).alias("__at", "__term"))
+        kept = (
+            forms(each, "__term", "__form").join(whole, key)
+            .withColumn("__bare", strip_spaces(F.col("__form")))
+            .where((F.col("__bare") != "") & F.contains(F.col("__whole"), F.col("__bare")))
+            .groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__term"))), lambda x: x["__term"]).alias("__kept"))  # one row's list
+        )
+        out = out.join(kept, key, "left").withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce("__kept", F.array().cast("array<string>")))).drop("__kept")
+    return out.select(*rows.columns)

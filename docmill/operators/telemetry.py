@@ -30,10 +30,3 @@ def run_summary(rows: DataFrame, by: str) -> DataFrame:
         F.max("value").alias("largest"),
         F.round(F.sum("value"), 4).alias("total"),
     )
-
-
-def token_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """By model: calls and US dollars of (model, input, output, cache_read, cache_write) at prices a million tokens. Input that the cache serves or takes isn't charged again."""
-    base = F.greatest(F.col("input") - F.col("cache_read") - F.col("cache_write"), F.lit(0))
-    usd = (base * F.col("p_in") + F.col("cache_read") * F.col("p_read") + F.col("cache_write") * F.col("p_write") + F.col("output") * F.col("p_out")) / 1e6
-    return calls.join(F.broadcast(prices), "model").groupBy("model").agg(F.count("*").alias("calls"), F.round(F.sum(usd), 6).alias("usd"))  # a row per model

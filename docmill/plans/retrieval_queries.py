@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,7 @@ from docmill.functions import text as X
 from docmill.functions.text import SPACE
 from docmill.operators import answering, evaluation, retrieval, telemetry
 from docmill.plans.layout_queries import C, chunks
-from docmill.sources.tables import materialize, table
+from docmill.sources.tables import materialize, scratch, table
 from docmill.streaming import inbox
 
 QUERIES, ORACLES = {}, {}
@@ -47,8 +49,36 @@ def cards(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "doc_cards").dropDuplicates(["doc_id"])
 
 
+def index_of(spark: SparkSession, d: str, name: str, rows: DataFrame, key: str, fields: dict[str, float]) -> str:
+    """The inverted index of a table's rows, built once in a session for each state of its files."""
+    fs = lambda f: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+    files = sorted(table(spark, d, name).inputFiles())
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    state = hashlib.sha1("|".join(f"{f} {fs(f).getFileSystem(conf).getFileStatus(fs(f)).getModificationTime()}" for f in files).encode()).hexdigest()
+    setting = f"docmill.index.{name}.{'-'.join(fields)}.{state}"
+    path = spark.conf.get(setting, None)
+    if path is None:
+        path = scratch(spark, f"index-{name}")
+        retrieval.write_index(rows, key, list(fields), path)
+        spark.conf.set(setting, path)
+    return path
+
+
+def chunk_scores(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    """BM25 with phrases of (query_id, query) over all chunks."""
+    rows = index_rows(spark, d)
+    index = index_of(spark, d, "chunks", rows, "chunk_id", retrieval.CHUNK_FIELDS)
+    return retrieval.bm25(asked, rows, "chunk_id", retrieval.CHUNK_FIELDS, index, retrieval.CHUNK_PHRASES)
+
+
+def card_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = cards(spark, d).select("doc_id", *retrieval.CARD_FIELDS)
+    index = index_of(spark, d, "doc_cards", rows, "doc_id", retrieval.CARD_FIELDS)
+    return retrieval.bm25(questions(spark, d).select("query_id", "query"), rows, "doc_id", retrieval.CARD_FIELDS, index)
+
+
 def lexical(spark: SparkSession, d: str, k: int = retrieval.CANDIDATES) -> DataFrame:
-    return retrieval.top(retrieval.bm25(questions(spark, d).select("query_id", "query"), index_rows(spark, d), "chunk_id", retrieval.CHUNK_FIELDS), "chunk_id", k)
+    return retrieval.top(chunk_scores(spark, d, questions(spark, d).select("query_id", "query")), "chunk_id", k)
 
 
 def vectors(spark: SparkSession, d: str, k: int = retrieval.CANDIDATES) -> DataFrame:
@@ -57,22 +87,35 @@ def vectors(spark: SparkSession, d: str, k: int = retrieval.CANDIDATES) -> DataF
     return retrieval.knn(asked.select("query_id", "vector"), chunks(spark, d, "embedding").withColumnRenamed("embedding", "vector"), "chunk_id", DIM, k)
 
 
-def _bm25_sql(source: str, key: str, fields: dict[str, float]) -> str:
+def terms_sql(text: str) -> str:
+    return f"flatten(list_transform(regexp_extract_all(lower({text}), '{X.TERM}'), lambda r: CASE WHEN len(r) > 1 AND regexp_matches(r, '^[{X.DENSE}]') THEN list_transform(range(1, len(r)), lambda i: substr(r, i, 2)) ELSE [r] END))"
+
+
+def bm25_sql(source: str, key: str, fields: dict[str, float], phrases: dict[str, float] | None = None, asked: str = "SELECT id AS query_id, query FROM questions") -> str:
     """CTEs up to ``scored`` (query_id, key, score)."""
     parts = " UNION ALL ".join(f"SELECT {key} AS key, '{f}' AS field, {f'array_to_string({f}, $$ $$)' if f in ('keywords', 'entities', 'aliases', 'topics') else f} AS t FROM {source}" for f in fields)
-    boost = " ".join(f"WHEN '{f}' THEN {w}" for f, w in fields.items())
-    terms = "regexp_extract_all(lower({}), '[a-z]+|[0-9]+|[가-힣]+')"
-    return f"""fl AS ({parts}), tk AS (SELECT key, field, {terms.format('t')} AS l FROM fl WHERE t IS NOT NULL),
+    boost = lambda weights: " ".join(f"WHEN '{f}' THEN {w}" for f, w in weights.items())
+    idf = "ln(1 + (n - df + 0.5) / (df + 0.5))"
+    beside = ""
+    if phrases:
+        beside = f"""pc AS (SELECT query_id, key, field, sum({idf}) AS idf, any_value(ln) AS ln FROM ask JOIN po USING (term) JOIN df USING (field, term), tot WHERE field IN ({', '.join(f"'{f}'" for f in phrases)}) GROUP BY 1, 2, 3 HAVING count(*) = any_value(n_terms)),
+      pp AS (SELECT pc.*, list_transform(range(1, len(q.l) + 1), lambda i: list_filter(list_transform(range(1, len(tk.l) + 1), lambda p: CASE WHEN tk.l[p] = q.l[i] THEN p - i END), lambda x: x IS NOT NULL)) AS places FROM pc JOIN tk USING (key, field) JOIN qt q USING (query_id)),
+      pw AS (SELECT query_id, key, field, idf, ln, list_filter(list_transform(list_distinct(flatten(places)), lambda b: list_max(list_transform(places, lambda own: coalesce(list_min(list_filter(own, lambda x: x >= b)) - b, 3)))), lambda w: w <= 2) AS widths FROM pp),
+      pf AS (SELECT *, list_sum(list_transform(widths, lambda w: 1.0 / (1 + w))) AS freq FROM pw WHERE len(widths) > 0),
+      ph AS (SELECT query_id, key, max((CASE field {boost(phrases)} END) * idf * freq * 2.2 / (freq + 1.2 * (0.25 + 0.75 * ln / al))) AS extra FROM pf JOIN al USING (field) GROUP BY 1, 2),
+      """
+    score = f"SELECT query_id, key, max(s) + 0.3 * (sum(s) - max(s)) AS best FROM sf GROUP BY 1, 2"
+    return f"""fl AS ({parts}), tk AS (SELECT key, field, {terms_sql('t')} AS l FROM fl WHERE t IS NOT NULL),
       po AS (SELECT key, field, ln, term, count(*) AS tf FROM (SELECT key, field, len(l) AS ln, unnest(l) AS term FROM tk) GROUP BY ALL),
       al AS (SELECT field, avg(ln) AS al FROM (SELECT DISTINCT key, field, ln FROM po) GROUP BY field), tot AS (SELECT count(*) AS n FROM {source}),
-      df AS (SELECT field, term, count(*) AS df FROM po GROUP BY 1, 2),
-      ask AS (SELECT DISTINCT id AS query_id, unnest({terms.format('query')}) AS term FROM questions),
-      sf AS (SELECT query_id, key, field, sum((CASE field {boost} END) * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * ln / al))) AS s
+      df AS (SELECT field, term, count(*) AS df FROM po GROUP BY 1, 2), qt AS (SELECT query_id, {terms_sql('query')} AS l FROM ({asked})),
+      ask AS (SELECT query_id, len(list_distinct(l)) AS n_terms, unnest(list_distinct(l)) AS term FROM qt),
+      sf AS (SELECT query_id, key, field, sum((CASE field {boost(fields)} END) * {idf} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * ln / al))) AS s
              FROM ask JOIN po USING (term) JOIN df USING (field, term) JOIN al USING (field), tot GROUP BY 1, 2, 3),
-      scored AS (SELECT query_id, key, round(max(s) + 0.3 * (sum(s) - max(s)), 6) AS score FROM sf GROUP BY 1, 2)"""
+      {beside}scored AS (SELECT query_id, key, round(best{' + coalesce(extra, 0)' if phrases else ''}, 6) AS score FROM ({score}){' LEFT JOIN ph USING (query_id, key)' if phrases else ''})"""
 
 
-BM25 = _bm25_sql("c", "chunk_id", retrieval.CHUNK_FIELDS)
+BM25 = bm25_sql("c", "chunk_id", retrieval.CHUNK_FIELDS, retrieval.CHUNK_PHRASES)
 LEX = "lex AS (SELECT * FROM (SELECT query_id, key AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM scored) WHERE rank <= 50)"
 CARD = "k AS (SELECT DISTINCT ON (doc_id) * FROM doc_cards)"
 VEC = """uc AS (SELECT chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM c WHERE len(embedding) = 48 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
@@ -116,8 +159,8 @@ def _kept_sql(source: str) -> str:
     SELECT query_id, chunk_id, fused, final_rank FROM (SELECT query_id, chunk_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final_rank FROM fu JOIN kept USING (query_id, rank)) WHERE final_rank <= 5""")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Both legs of all questions, fused by rank, near duplicates of better hits left out, the best five."""
-    f = materialize(fused(spark, d).drop("legs"), "fused")
-    kept = retrieval.suppress_near(f.join(chunks(spark, d, "body"), "chunk_id"), "chunk_id", "body").where("kept")
+    f = materialize(fused(spark, d).drop("legs").join(chunks(spark, d, "body"), "chunk_id"), "fused")
+    kept = retrieval.suppress_near(f, "chunk_id", "body").where("kept")
     final = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return kept.withColumn("final_rank", final).where("final_rank <= 5").select("query_id", "chunk_id", "fused", "final_rank")
 
@@ -130,7 +173,7 @@ HITS = """ho AS (SELECT DISTINCT ON (hit_id) hit_id, query_id, chunk_id, doc_id,
 
 @query(f"WITH RECURSIVE {HITS}, {_kept_sql('h')} SELECT h.query_id, h.chunk_id, h.rank, kept.rank IS NOT NULL AS kept FROM h LEFT JOIN kept USING (query_id, rank)")
 def hits_without_near(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.suppress_near(hits(spark, d), "chunk_id", "body").select("query_id", "chunk_id", "rank", "kept")
+    return retrieval.suppress_near(materialize(hits(spark, d), "hits"), "chunk_id", "body").select("query_id", "chunk_id", "rank", "kept")
 
 
 @query(f"""
@@ -138,14 +181,39 @@ def hits_without_near(spark: SparkSession, d: str) -> DataFrame:
       t AS (SELECT query_id, doc_id, key AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE i = 1)
     SELECT * FROM t WHERE rank <= 2""")
 def lexical_documents(spark: SparkSession, d: str) -> DataFrame:
-    scored = retrieval.bm25(questions(spark, d).select("query_id", "query"), index_rows(spark, d), "chunk_id", retrieval.CHUNK_FIELDS)
+    scored = chunk_scores(spark, d, questions(spark, d).select("query_id", "query"))
     return retrieval.collapse(scored.join(chunks(spark, d, "doc_id"), "chunk_id"), "chunk_id", "doc_id", 2).select("query_id", "doc_id", "chunk_id", "score", "rank")
 
 
-@query(f"WITH {CARD}, {_bm25_sql('k', 'doc_id', retrieval.CARD_FIELDS)} SELECT * FROM (SELECT query_id, key AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM scored) WHERE rank <= 3")
+def card_legs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Cards by their fields and by vector; as in :func:`vectors` a question's vector is that of the card of its document."""
+    k = cards(spark, d).select("doc_id", F.col("embedding").alias("vector"))
+    asked = questions(spark, d).select("query_id", "doc_id").join(k, "doc_id").select("query_id", "vector")
+    return {"bm25": retrieval.top(card_scores(spark, d), "doc_id", 20), "knn": retrieval.knn(asked, k, "doc_id", DIM, 20)}
+
+
+CARDS = f"""{CARD}, {bm25_sql('k', 'doc_id', retrieval.CARD_FIELDS)},
+      ul AS (SELECT doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM k WHERE len(embedding) = 48 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+      kl AS (SELECT q.id AS query_id, b.doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM questions q JOIN ul a USING (doc_id), ul b),
+      legs AS (SELECT query_id, key AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM scored UNION ALL
+               SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kl),
+      cardfuse AS (SELECT query_id, doc_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 12) AS fused FROM legs WHERE rank <= 20 GROUP BY 1, 2))"""
+
+
+@query(f"WITH {CARDS} SELECT * FROM cardfuse WHERE rank <= 3")
 def card_routing(spark: SparkSession, d: str) -> DataFrame:
-    rows = cards(spark, d).select("doc_id", *retrieval.CARD_FIELDS)
-    return retrieval.top(retrieval.bm25(questions(spark, d).select("query_id", "query"), rows, "doc_id", retrieval.CARD_FIELDS), "doc_id", 3)
+    """The three best document cards of each question, by fields and by vector, 20 candidates each, fused by rank."""
+    return retrieval.fuse_legs(card_legs(spark, d), "doc_id", 3).select("query_id", "doc_id", "fused", "rank")
+
+
+@query(f"""WITH {CARDS}, r AS (SELECT q.id, min(rank) AS rank FROM questions q LEFT JOIN cardfuse f ON f.query_id = q.id AND f.doc_id = q.doc_id GROUP BY q.id)
+    SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 6) AS doc_at_1, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 6) AS doc_at_3 FROM r""")
+def card_routing_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How often the right document's card is first, and among the first three."""
+    found = retrieval.fuse_legs(card_legs(spark, d), "doc_id", 40).select("query_id", "doc_id", "rank")
+    right = questions(spark, d).select("query_id", "doc_id").join(found, ["query_id", "doc_id"], "left")
+    at = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1).otherwise(0)), 6)
+    return right.agg(F.count("*").alias("n"), at(1).alias("doc_at_1"), at(3).alias("doc_at_3"))
 
 
 @query(f"""
@@ -175,7 +243,7 @@ def section_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.round_robin(ranked, 20).select("query_id", "chunk_id", F.col("at").alias("place"))
 
 
-MULTI = f"regexp_matches(lower(query), '{'|'.join(X.COMPARISON)}')"
+MULTI = f"regexp_matches(lower(query), '{X.COMPARISON}')"
 
 
 @query(f"""
@@ -187,11 +255,32 @@ def evidence(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.one_document(hits(spark, d).join(multi, "query_id")).select("query_id", "chunk_id", "doc_id", "evidence_rank")
 
 
-@query()
+MENTIONS = f"""ka AS (SELECT DISTINCT doc_id, lower(doc_id) AS low, regexp_extract_all(lower(doc_id), '{retrieval.WORD}') AS w FROM doc_cards),
+      na AS (SELECT DISTINCT doc_id, trim(unnest(list_concat([low, translate(low, '-_', '  '), regexp_replace(regexp_replace(low, '{retrieval.DATE}', '-', 'g'), '^[-_ ]+|[-_ ]+$', '', 'g')],
+        list_filter(w, lambda x: NOT regexp_matches(x, '^[0-9]+$')),
+        flatten(list_transform(range(1, len(w)), lambda i: CASE WHEN regexp_matches(w[i], '^[0-9]+$') AND regexp_matches(w[i + 1], '^[0-9]+$') THEN [] ELSE [w[i] || ' ' || w[i + 1], w[i] || '-' || w[i + 1]] END))))) AS alias FROM ka),
+      qc AS (SELECT id AS query_id, replace(regexp_replace(lower(query), '[^0-9a-zA-Z가-힣]+', ' ', 'g'), ' ', '') AS compact FROM questions),
+      mn AS (SELECT query_id, doc_id, max(length(alias)) AS longest FROM qc JOIN na ON length(alias) >= 3 AND translate(alias, ' -', '') <> '' AND contains(compact, translate(alias, ' -', '')) GROUP BY 1, 2),
+      named AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY longest DESC, doc_id) AS rank FROM mn)"""
+
+
+@query(f"WITH {MENTIONS} SELECT * FROM named")
 def document_mentions(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.mentions(questions(spark, d), cards(spark, d)).select("query_id", "doc_id", "longest", "rank")
 
 
+@query(f"""
+    WITH {MENTIONS}, n AS (SELECT query_id, list(doc_id ORDER BY rank) AS named FROM named GROUP BY 1), q AS (SELECT id AS query_id, {MULTI} AS multi, CASE WHEN bucket = 'A' THEN [doc_id] ELSE [] END AS given, coalesce(named, []) AS named FROM questions LEFT JOIN n ON n.query_id = id),
+      r AS (SELECT query_id, multi, given, named, CASE WHEN len(given) > 0 THEN given ELSE named END AS chosen FROM q)
+    SELECT query_id, array_to_string(chosen, ',') AS doc_ids, multi OR len(chosen) > 1 AS several, array_to_string(CASE WHEN len(given) > 0 AND len(named) > 1 THEN list_filter(named, lambda x: NOT list_contains(given, x)) ELSE [] END, ',') AS missing FROM r""")
+def question_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents to search: the given one for questions of bucket A, else those that the question names."""
+    q = questions(spark, d).select("query_id", "query", F.when(F.col("bucket") == "A", F.array("doc_id")).alias("given"))
+    named = retrieval.mentions(q, cards(spark, d))
+    r = retrieval.route(q, named, X.is_comparison(F.col("query")), "given")
+    return r.select("query_id", F.array_join("doc_ids", ",").alias("doc_ids"), "several", F.array_join("missing", ",").alias("missing"))
+
+
 @query(f"SELECT id AS query_id, CASE WHEN regexp_matches(query, '[가-힣]') THEN 'ko' WHEN regexp_matches(query, '[A-Za-z]') THEN 'en' ELSE 'ko' END AS language, {MULTI} AS multi FROM questions")
 def question_routes(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("query")
@@ -217,7 +306,8 @@ def context_that_fits(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def valid_quotes(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "quotes").select("quote_id", "chunk_id", "quote").distinct()
-    return q.join(chunks(spark, d, "body"), "chunk_id").select("quote_id", answering.quote_exists_udf("quote", "body").alias("valid"))
+    q, c = answering.forms(q, "quote", "quote_form"), answering.forms(chunks(spark, d, "body"), "body", "body_form")
+    return q.join(c, "chunk_id").select("quote_id", answering.quote_found(F.col("quote_form"), F.col("body_form")).alias("valid"))
 
 
 @query()
@@ -276,7 +366,13 @@ def ranking_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.summarize(ranking_scores(spark, d)).na.fill("all", ["bucket", "doc_id"])
 
 
-@query()
+@query(f"""
+    WITH {C}, {HITS}, {TARGETS}, fr AS (SELECT h.query_id, target, min(h.rank) AS rank FROM h JOIN cv USING (query_id, chunk_id) WHERE h.rank <= 20 GROUP BY 1, 2),
+      wn AS (SELECT query_id, count(*) AS n FROM tg GROUP BY 1), ks AS (SELECT unnest([1, 5, 10, 20]) AS k),
+      pq AS (SELECT q.id AS query_id, ks.k, coalesce(any_value(wn.n), 0) AS n, count(fr.target) AS got, min(fr.rank) AS best, coalesce(list_sum(list_transform(list_distinct(list(fr.rank)), lambda r: 1 / log2(r + 1))), 0) AS gain
+             FROM questions q CROSS JOIN ks LEFT JOIN wn ON wn.query_id = q.id LEFT JOIN fr ON fr.query_id = q.id AND fr.rank <= ks.k WHERE bucket <> 'E' GROUP BY 1, 2)
+    SELECT k, count(*) AS n, round(avg(CASE WHEN got > 0 THEN 1 ELSE 0 END), 6) AS hit, round(avg(CASE WHEN n > 0 THEN round(got / n, 6) ELSE 0 END), 6) AS recall,
+      round(avg(CASE WHEN n > 0 THEN round(gain / list_sum(list_transform(range(1, least(n, k) + 1), lambda i: 1 / log2(i + 1))), 6) ELSE 0 END), 6) AS ndcg, round(avg(coalesce(round(1.0 / best, 6), 0)), 6) AS mrr FROM pq GROUP BY k""")
 def metrics_at_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.at_cutoffs(questions(spark, d), hits(spark, d), materialize(_cover(spark, d), "cover"))
 
@@ -291,7 +387,7 @@ CAUSES = f"""{HITS}, {TARGETS}, {_kept_sql('h')},
 
 @query(f"WITH RECURSIVE {C}, {CAUSES} SELECT * FROM cz")
 def failure_causes(spark: SparkSession, d: str) -> DataFrame:
-    h = retrieval.suppress_near(hits(spark, d), "chunk_id", "body")
+    h = materialize(retrieval.suppress_near(materialize(hits(spark, d), "hits"), "chunk_id", "body"), "kept")
     kept = h.where("kept").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     return evaluation.causes(questions(spark, d), kept, _cover(spark, d), h.where("not kept")).na.fill(0, ["best_rank"])
 
@@ -306,11 +402,11 @@ def bootstrap_of_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Delivered hits against the hybrid search on the same questions."""
     q, cover = questions(spark, d), materialize(_cover(spark, d), "cover")
     doc = chunks(spark, d, "doc_id")
-    mine = hybrid_search(spark, d).withColumnRenamed("final_rank", "rank").join(doc, "chunk_id")
+    mine = materialize(hybrid_search(spark, d).withColumnRenamed("final_rank", "rank").join(doc, "chunk_id"), "found")
     a, b = evaluation.score(q, hits(spark, d), cover), evaluation.score(q, mine, cover)
     both = a.where("bucket <> 'E'").join(b.select("query_id", F.col("ndcg").alias("nb"), F.col("rr").alias("rb"), F.col("recall").alias("cb")), "query_id")
     pairs = both.select("query_id", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(x).alias("a"), F.col(y).alias("b")) for m, x, y in (("ndcg", "ndcg", "nb"), ("recall", "recall", "cb"), ("mrr", "rr", "rb"))))))
-    return evaluation.paired_bootstrap(pairs)
+    return evaluation.paired_bootstrap(materialize(pairs, "pairs"))
 
 
 def _ltr_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -320,21 +416,31 @@ def _ltr_hits(spark: SparkSession, d: str) -> DataFrame:
     return both.join(questions(spark, d).select("query_id", "query"), "query_id").join(chunks(spark, d, "doc_id", "title", "body", "depth", "token_len"), "chunk_id")
 
 
+def _grams_sql(text: str) -> str:
+    bare = f"regexp_replace(coalesce({text}, ''), '[{SPACE}]+', '', 'g')"
+    return f"list_distinct(list_transform(range(1, length({bare}) - 1), lambda i: substr({bare}, i, 3)))"
+
+
+def _overlap_sql(text: str) -> str:
+    q = _grams_sql("query")
+    return f"round(CASE WHEN len({q}) > 0 THEN len(list_intersect({q}, {_grams_sql(text)})) / len({q}) ELSE 0 END, 6)"
+
+
 @query(f"""
     WITH {C}, {CARD}, {BM25}, {LEX}, {VEC}, x AS (SELECT query_id, chunk_id, l.rank AS br, l.score AS bs, v.rank AS kr, v.cos AS ks FROM (SELECT * FROM lex WHERE rank <= 20) l FULL JOIN (SELECT * FROM vec WHERE rank <= 20) v USING (query_id, chunk_id)),
       y AS (SELECT x.*, q.query, c.doc_id, c.title, c.body, c.depth, c.token_len FROM x JOIN questions q ON q.id = x.query_id JOIN c USING (chunk_id))
     SELECT query_id, chunk_id, round(coalesce(1.0 / (60 + br), 0), 6) AS bm25_rr, round(coalesce(1.0 / (60 + kr), 0), 6) AS knn_rr,
       round(coalesce(CASE WHEN stddev_pop(bs) OVER w > 0 THEN (bs - avg(bs) OVER w) / stddev_pop(bs) OVER w END, 0), 6) AS bm25_z, round(coalesce(ks, 0), 6) AS knn_cos,
       CASE WHEN br IS NOT NULL AND kr IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS both_legs, round(coalesce(least(depth, 4) / 4.0, 0), 6)::DOUBLE AS depth_norm, round(coalesce(least(token_len, 512) / 512.0, 0), 6)::DOUBLE AS len_norm,
-      round(count(*) OVER (PARTITION BY query_id, doc_id) / count(*) OVER w, 6) AS doc_share FROM y WINDOW w AS (PARTITION BY query_id)""")
+      round(count(*) OVER (PARTITION BY query_id, doc_id) / count(*) OVER w, 6) AS doc_share, {_overlap_sql('title')} AS title_gram, {_overlap_sql('substr(body, 1, 1200)')} AS body_gram FROM y WINDOW w AS (PARTITION BY query_id)""")
 def rank_features(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.rank_features(_ltr_hits(spark, d)).drop("title_gram", "body_gram")
+    return evaluation.rank_features(_ltr_hits(spark, d))
 
 
 @query()
 def learned_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Candidates reordered by a model that is fitted on whether they cover a target of their question."""
-    rows = evaluation.rank_features(_ltr_hits(spark, d)).join(_cover(spark, d).select("query_id", "chunk_id").distinct().withColumn("label", F.lit(1)), ["query_id", "chunk_id"], "left").na.fill(0, ["label"])
+    rows = evaluation.rank_features(materialize(_ltr_hits(spark, d), "candidates")).join(_cover(spark, d).select("query_id", "chunk_id").distinct().withColumn("label", F.lit(1)), ["query_id", "chunk_id"], "left").na.fill(0, ["label"])
     rows = materialize(rows, "ltr")
     return evaluation.rerank(rows, evaluation.fit_reranker(rows)).select("query_id", "chunk_id", "label", F.round("ltr_score", 6).alias("ltr_score"), "ltr_rank")
 
@@ -368,22 +474,6 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.run_summary(_events(spark, d), "category")
 
 
-#: US dollars a million tokens, by size of model: input, output, cache read, cache write.
-PRICES = (("small", 1.1, 5.5, 0.11, 1.375), ("large", 3.3, 16.5, 0.33, 4.125))
-
-
-@query(f"""
-    WITH p(model, p_in, p_out, p_read, p_write) AS (VALUES {', '.join(str(p) for p in PRICES)}), c AS (SELECT DISTINCT chunk_id, coalesce(token_len, 0) AS i, CASE WHEN coalesce(token_len, 0) > 200 THEN 'large' ELSE 'small' END AS model FROM chunks)
-    SELECT model, count(*) AS calls, round(sum((greatest(i - i // 4 - i // 8, 0) * p_in + (i // 4) * p_read + (i // 8) * p_write + 100 * p_out) / 1e6), 6) AS usd FROM c JOIN p USING (model) GROUP BY model""")
-def enrichment_cost(spark: SparkSession, d: str) -> DataFrame:
-    """What a call for each chunk would cost, a quarter of its tokens read from a cache and an eighth written to it."""
-    i = F.coalesce("token_len", F.lit(0))
-    calls = table(spark, d, "chunks").select("chunk_id", i.alias("input")).distinct().select(
-        F.when(F.col("input") > 200, "large").otherwise("small").alias("model"), "input", F.lit(100).alias("output"), F.floor(F.col("input") / 4).alias("cache_read"), F.floor(F.col("input") / 8).alias("cache_write")
-    )
-    return telemetry.token_costs(calls, spark.createDataFrame(list(PRICES), "model string, p_in double, p_out double, p_read double, p_write double"))
-
-
 @query("""
     WITH k AS (SELECT DISTINCT doc_id FROM doc_cards), q AS (SELECT id, count(*) AS n, min(doc_id) AS doc_id FROM questions GROUP BY id)
     SELECT q.id, n > 1 AS repeated, k.doc_id IS NULL AS unknown_doc FROM q LEFT JOIN k USING (doc_id)""")

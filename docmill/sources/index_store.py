@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,19 +58,12 @@ def cache_misses(asked: DataFrame, cache: DataFrame) -> DataFrame:
     return asked.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
 
 
-def save_manifest(folder: str, doc_id: str, pages: int, chunks: int) -> None:
-    """Written beside and moved into place, so a reader never sees half of it."""
-    target = Path(folder) / f"{doc_id}.json"
-    target.parent.mkdir(parents=True, exist_ok=True)
-    draft = target.with_suffix(f".{uuid.uuid4().hex}.tmp")
-    draft.write_text(json.dumps({"version": VERSION, "doc_id": doc_id, "pages": pages, "chunks": chunks}), encoding="utf-8")
-    os.replace(draft, target)
+def manifest(rows: DataFrame) -> DataFrame:
+    """One row for each document of the index (doc_id, page, chunk_id, ...): version, pages, chunks."""
+    return rows.groupBy("doc_id").agg(F.lit(VERSION).alias("version"), F.count_distinct("page").alias("pages"), F.count_distinct("chunk_id").alias("chunks"))
 
 
-def load_manifest(folder: str, doc_id: str) -> dict | None:
-    """None if it is missing, damaged or of another version."""
-    try:
-        found = json.loads((Path(folder) / f"{doc_id}.json").read_text(encoding="utf-8"))
-        return found if found.get("version") == VERSION and found.get("doc_id") == doc_id else None
-    except (OSError, ValueError, AttributeError):
-        return None
+def unfinished(rows: DataFrame, written: DataFrame) -> DataFrame:
+    """Documents (doc_id) of the index that a written manifest lacks, or holds in another version or with other numbers: those to index again."""
+    same = written.where(F.col("version") == VERSION)
+    return manifest(rows).join(same, ["doc_id", "version", "pages", "chunks"], "left_anti").select("doc_id")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docmill.functions import text as X
 from docmill.operators import answering, evaluation, retrieval
 
 
@@ -83,13 +84,13 @@ def test_causes(spark):
 
 def test_quotes_and_budgets(spark):
     body = "포상의 종류는 다음과 같다\n1. 표창\n2. 포상금\n"
-    assert answering.quote_exists("1. 표창", body) and not answering.quote_exists("표창", body) and not answering.quote_exists("①", body)
-    assert answering.quote_exists("포상의 종류는", body) and not answering.quote_exists("", body) and not answering.quote_exists(None, None)
+    cases = {"1. 표창": True, "표창": False, "①": False, "포상의 종류는": True, "포상의\u00a0종류는 다음과": True, "": False, None: False}
+    df = spark.createDataFrame([(q, body) for q in cases], "quote string, body string")
+    got = {r["quote"]: r["found"] for r in df.select("quote", answering.quote_found(F.col("quote"), F.col("body")).alias("found")).collect()}
+    assert got == cases
     hits = spark.createDataFrame([("q", 1, 80), ("q", 2, 80), ("q", 3, 10), ("q", 4, 0)], "query_id string, rank int, n int")
     assert [r["rank"] for r in answering.budget_prefix(hits, F.col("n"), 100).collect()] == [1]
     assert [(r["rank"], r["used"]) for r in answering.budget_skip(hits, F.col("n"), 100).orderBy("rank").collect()] == [(1, 80), (3, 90)]
-    gate = spark.createDataFrame([(0, [], 0.9), (3, ["knn failed"], 0.99), (3, [], 0.6), (3, [], 0.78)], "n int, degraded array<string>, s double")
-    assert [r[0] for r in gate.select(answering.refusal(F.col("n"), F.col("degraded"), F.col("s"))).collect()] == ["no_hits", "search_degraded", "low_confidence", None]
 
 
 def test_grounding_and_reranking(spark):
@@ -101,3 +102,48 @@ def test_grounding_and_reranking(spark):
     ranked = evaluation.rerank(data, evaluation.fit_reranker(data))
     assert {r["chunk_id"] for r in ranked.where("ltr_rank = 1").collect()} == {"c0"}
     assert evaluation.mean_reciprocal_rank(data, F.col("chunk_id").desc()).first()["mrr"] == pytest.approx(0.2)
+
+
+def test_terms_and_phrases(spark):
+    df = spark.createDataFrame([("연차휴가를 준다 A4 café",), ("訓練",), ("가",), (None,)], "t string")
+    got = [r[0] for r in df.select(X.terms(F.col("t"))).collect()]
+    assert got == [["연차", "차휴", "휴가", "가를", "준다", "a", "4", "café"], ["訓練"], ["가"], None]
+    cases = [(["a", "b"], ["x", "a", "b"], 1.0), (["a", "b"], ["a", "x", "b"], 0.5), (["a", "b"], ["a", "x", "x", "x", "b"], 0.0), (["a", "b"], ["b"], 0.0), (["a"], ["a", "x", "a"], 2.0), (["a", "b"], [], 0.0)]
+    df = spark.createDataFrame([(i, q, t) for i, (q, t, _) in enumerate(cases)], "i int, q array<string>, t array<string>")
+    assert [r[1] for r in df.select("i", X.phrase_frequency(F.col("q"), F.col("t"))).orderBy("i").collect()] == [c[2] for c in cases]
+
+
+def test_phrases_rank_higher(spark):
+    rows = spark.createDataFrame([("1", "t", "red pump of the valve"), ("2", "t", "pump red the valve of"), ("3", None, None)], "id string, title string, text string")
+    q = spark.createDataFrame([("q", "the red pump")], "query_id string, query string")
+    plain = {r["id"]: r["score"] for r in retrieval.bm25(q, rows, "id", {"title": 3.0, "text": 1.0}).collect()}
+    beside = {r["id"]: r["score"] for r in retrieval.bm25(q, rows, "id", {"title": 3.0, "text": 1.0}, phrases={"text": 2.0}).collect()}
+    assert plain["1"] == plain["2"]
+    near = spark.createDataFrame([("q", "red pump")], "query_id string, query string")
+    got = {r["id"]: r["score"] for r in retrieval.bm25(near, rows, "id", {"text": 1.0}, phrases={"text": 2.0}).collect()}
+    assert got["1"] > got["2"] > 0 and set(beside) == {"1", "2"}
+    assert retrieval.bm25(near, rows.limit(0), "id", {"text": 1.0}, phrases={"text": 2.0}).count() == 0
+
+
+def test_route_interleave_spread(spark):
+    q = spark.createDataFrame([("1", False, ["x"]), ("2", False, None), ("3", True, []), ("4", False, None)], "query_id string, multi boolean, given array<string>")
+    named = spark.createDataFrame([("1", "x", 2), ("1", "y", 1), ("2", "b", 1), ("2", "a", 2)], "query_id string, doc_id string, rank int")
+    got = {r["query_id"]: (r["doc_ids"], r["several"], r["missing"]) for r in retrieval.route(q, named, F.col("multi"), "given").collect()}
+    assert got == {"1": (["x"], False, ["y"]), "2": (["b", "a"], True, []), "3": ([], True, []), "4": ([], False, [])}
+    base = spark.createDataFrame([("q", f"b{i}", i) for i in range(1, 6)], "query_id string, chunk_id string, rank int")
+    extra = spark.createDataFrame([("q", "b5", 1), ("q", "e2", 2), ("q", "e3", 3)], "query_id string, chunk_id string, rank int")
+    assert [r["chunk_id"] for r in retrieval.interleave(base, extra, 2, 2, 5).orderBy("place").collect()] == ["b1", "b2", "b5", "e2", "b3"]
+    rows = spark.createDataFrame([("d", i) for i in range(7)] + [("e", 0)], "doc_id string, i int")
+    n = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    assert sorted(tuple(r) for r in retrieval.spread_sample(rows, "doc_id", "i", n, 4).collect()) == [("d", 0), ("d", 2), ("d", 4), ("d", 6), ("e", 0)]
+
+
+def test_model_output(spark):
+    row = spark.createDataFrame([("순서는 [3, 1, 9, 3] 입니다", '앞 {"action": "search", "n": 2} 뒤', "A. [cite:2] B [cite:1,2]\n---", "pump\nx\nno\nthe Pump runs\nend\nz")], "o string, j string, a string, t string")
+    r = row.select(
+        X.given_order(F.col("o"), F.lit(4)).alias("o"), X.first_object(F.col("j"), "action string, n int").alias("j"), X.sentences(F.col("a")).alias("s"),
+        X.single_citation(F.col("a")).alias("one"), X.claims_cited(F.col("a")).alias("cited"), X.excerpt(F.lit("Pump?"), F.col("t"), 1).alias("x"), X.given_order(F.lit(None).cast("string"), F.lit(2)).alias("none"),
+    ).first()
+    assert r["o"] == [3, 1, 2, 4] and r["none"] == [1, 2] and (r["j"]["action"], r["j"]["n"]) == ("search", 2)
+    assert [(x["n"], x["sentence"]) for x in r["s"]] == [(1, "A. [cite:2]"), (2, "B [cite:1,2]")] and r["cited"]
+    assert r["one"] == "A. B\n--- [cite:1,2]" and r["x"] == "pump\nx\nno\nthe Pump runs\nend"

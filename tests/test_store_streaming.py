@@ -27,10 +27,15 @@ def test_payload_cache_manifest(spark, tmp_path):
     asked = spark.createDataFrame([("m", "x"), ("m", "x"), ("m", None)], "model string, text string").withColumn("key", S.cache_key("model", "text"))
     assert S.cache_misses(asked, asked.limit(0)).count() == 2
     assert S.cache_misses(asked, asked.where("text is null")).count() == 1
-    S.save_manifest(str(tmp_path), "d", 3, 9)
-    assert S.load_manifest(str(tmp_path), "d")["chunks"] == 9 and S.load_manifest(str(tmp_path), "e") is None
-    (tmp_path / "d.json").write_text("{")
-    assert S.load_manifest(str(tmp_path), "d") is None
+
+
+def test_manifest(spark):
+    rows = spark.createDataFrame([("a", "a1", 1), ("a", "a2", 2), ("b", "b1", 1), ("c", "c1", None)], "doc_id string, chunk_id string, page int")
+    made = S.manifest(rows)
+    assert {(r["doc_id"], r["version"], r["pages"], r["chunks"]) for r in made.collect()} == {("a", 1, 2, 2), ("b", 1, 1, 1), ("c", 1, 0, 1)}
+    other = made.withColumn("version", F.when(F.col("doc_id") == "b", 0).otherwise(F.col("version"))).where("doc_id <> 'c'")
+    assert {r["doc_id"] for r in S.unfinished(rows, other).collect()} == {"b", "c"}
+    assert S.unfinished(rows, made).count() == 0 and S.manifest(rows.limit(0)).count() == 0
 
 
 def test_stream_equals_table(spark, tmp_path):
