@@ -61,16 +61,10 @@ def text_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT DISTINCT source, substring(regexp_replace(regexp_replace(lower(regexp_replace(source, '\\.[A-Za-z]{1,4}$', '')), '[^a-z0-9가-힣]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug,
-      CASE WHEN regexp_matches(lower(source), 'manual|매뉴얼') THEN 'manual' WHEN regexp_matches(lower(source), '입찰|안내서') THEN 'guide'
-           WHEN regexp_matches(lower(source), 'survey|논문|paper') THEN 'paper' WHEN regexp_matches(lower(source), '취업규칙|사규') THEN 'policy'
-           WHEN regexp_matches(lower(source), '법|시행령|별표') THEN 'law' WHEN regexp_matches(lower(source), '수료증|certificate') THEN 'certificate'
-           WHEN regexp_matches(lower(source), '예산|budget') THEN 'budget'
-           WHEN lower(coalesce(document_type, 'other')) IN ('manual','policy','law','guide','paper','certificate','budget','other') THEN lower(coalesce(document_type, 'other')) ELSE 'other' END AS type
-    FROM doc_cards""")
-def card_types(spark: SparkSession, d: str) -> DataFrame:
+    SELECT DISTINCT source, substring(regexp_replace(regexp_replace(lower(regexp_replace(source, '\\.[A-Za-z]{1,4}$', '')), '[^a-z0-9가-힣]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM doc_cards""")
+def card_slugs(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "doc_cards")
-    return c.select("source", X.slugify(X.file_stem(F.col("source"))).alias("slug"), X.document_type(F.col("document_type"), F.col("source")).alias("type")).distinct()
+    return c.select("source", X.slugify(X.file_stem(F.col("source"))).alias("slug")).distinct()
 
 
 @query("SELECT doc_id, count(DISTINCT chunk_id) AS chunks, max(end_page) AS last_page FROM chunks GROUP BY doc_id")
@@ -205,9 +199,22 @@ def layout_sections(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+def _numbering_sql() -> str:
+    """The numberings without look-ahead, which that engine lacks: a letter other than these, or the end, is taken instead."""
+    plain = [(p.replace("(?![", "(?:[^").replace("])", "]|$)") if "(?!" in p else p, n) for p, n in layout.NUMBERING]
+    each = " UNION ALL ".join(f"SELECT doc_id, page_index, block_order, '{n}' AS pattern, TRY_CAST(nullif(regexp_extract(trim(text), '{p}', 1), '') AS INTEGER) AS ordinal FROM b" for p, n in plain)
+    return f"nl AS (SELECT * FROM ({each}) WHERE ordinal BETWEEN 1 AND {layout.MAX_ORDINAL})"
+
+
+@query(f"""
+    WITH {B}, {_numbering_sql()}, st AS (SELECT *, lag(ordinal) OVER o AS before FROM nl WINDOW o AS (PARTITION BY doc_id, pattern ORDER BY page_index, block_order)),
+      rn AS (SELECT *, sum(CASE WHEN before IS NULL OR ordinal < before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pattern ORDER BY page_index, block_order) AS run FROM st WHERE before IS NULL OR before <> ordinal),
+      lr AS (SELECT doc_id, pattern, max(n) AS longest_run FROM (SELECT doc_id, pattern, run, count(*) AS n FROM rn GROUP BY 1, 2, 3) GROUP BY 1, 2),
+      sq AS (SELECT doc_id, pattern, list_distinct(list(ordinal)) AS seen, max(ordinal) AS max_ordinal, count(DISTINCT page_index) AS pages FROM nl GROUP BY 1, 2)
+    SELECT doc_id, pattern, len(seen) AS observed, max_ordinal, pages, array_to_string(list_filter(range(1, max_ordinal + 1), lambda x: NOT list_contains(seen, x)), ',') AS missing, longest_run,
+      len(seen) >= 3 AND len(seen) / max_ordinal >= 0.5 AND pages >= 3 AND longest_run >= 8 AS usable FROM sq JOIN lr USING (doc_id, pattern)""")
 def numbering_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return layout.numbering_sequences(blocks(spark, d))
+    return layout.numbering_sequences(blocks(spark, d)).withColumn("missing", F.array_join("missing", ","))
 
 
 @query(f"""
@@ -226,9 +233,58 @@ def column_counts(spark: SparkSession, d: str) -> DataFrame:
     return layout.stable_columns(blocks(spark, d).groupBy("doc_id", "page_index").agg((F.max("col_index") + 1).alias("columns")))
 
 
-@query(f"WITH {B} SELECT doc_id, page_index, block_order, trim(text) AS text, CAST(length(replace(text, ' ', '')) AS BIGINT) AS n_chars FROM b WHERE x1 > x0 AND replace(text, ' ', '') <> ''")
-def assembled_lines(spark: SparkSession, d: str) -> DataFrame:
-    return layout.assemble_lines(layout.glyphs(blocks(spark, d).where("x1 > x0"))).select(*LINE, "text", "n_chars")
+GUTTERS = """ob AS (SELECT DISTINCT doc_id, page_index, unnest(range(CAST(greatest(0, least(159, floor(x0 / 3.825))) AS BIGINT), CAST(greatest(0, least(159, floor(x1 / 3.825))) AS BIGINT) + 1)) AS bin FROM b WHERE x1 >= x0),
+      gu AS (SELECT doc_id, page_index, round((bin + 1) * 3.825, 3) AS lo, round(after * 3.825, 3) AS hi FROM (SELECT *, lead(bin) OVER (PARTITION BY doc_id, page_index ORDER BY bin) AS after FROM ob) WHERE (after - bin - 1) * 3.825 >= 3.0),
+      bi AS (SELECT doc_id, page_index, coalesce(greatest(0.5, median(bottom - top) * 0.6), 1.0) AS bin FROM b WHERE x0 IS NOT NULL AND x1 IS NOT NULL AND bottom IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2),
+      co AS (SELECT b.block_id, count(*) FILTER (gu.hi IS NOT NULL AND (b.x0 + b.x1) / 2 >= gu.hi) AS col, coalesce(bool_or(b.x0 < gu.lo AND b.x1 > gu.hi), false) AS crosses FROM b LEFT JOIN gu USING (doc_id, page_index) GROUP BY b.block_id)"""
+LINES = f"""{GUTTERS}, pl AS (SELECT b.*, co.col, CAST(round_even(bottom / bin, 0) AS BIGINT) AS row, trim(text) <> '' AS shown, regexp_replace(fontname, '^.*\\+', '') AS font FROM b JOIN bi USING (doc_id, page_index) JOIN co USING (block_id) WHERE x0 IS NOT NULL AND x1 IS NOT NULL AND bottom IS NOT NULL AND text IS NOT NULL),
+      ln AS (SELECT doc_id, page_index, col AS "column", row, list(shown ORDER BY x0, block_order) AS sh, list(font ORDER BY x0, block_order) FILTER (shown AND font IS NOT NULL) AS fonts, list(text ORDER BY x0, block_order) AS ts, list(x0 ORDER BY x0, block_order) AS xs, list(x1 ORDER BY x0, block_order) AS es,
+        coalesce(median(CASE WHEN x1 > x0 AND length(text) > 0 THEN (x1 - x0) / length(text) END), 1.0) AS width, round(median(CASE WHEN shown THEN size END), 2) AS size, round(min(CASE WHEN shown THEN x0 END), 2) AS x0, round(max(CASE WHEN shown THEN x1 END), 2) AS x1,
+        round(min(CASE WHEN shown THEN top END), 2) AS top, round(max(CASE WHEN shown THEN bottom END), 2) AS bottom, CAST(sum(length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g'))) AS BIGINT) AS n_chars, count(*) FILTER (shown) AS pieces FROM pl GROUP BY 1, 2, 3, 4),
+      lines AS (SELECT doc_id, page_index, "column", row, trim(regexp_replace(array_to_string(list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN i > 1 AND xs[i] - es[i - 1] > 0.3 * width AND NOT regexp_matches(ts[i - 1], '[ \t\n\x0B\f\r]$') AND NOT regexp_matches(ts[i], '^[ \t\n\x0B\f\r]') AND i > 1 THEN ' ' ELSE '' END || ts[i]), ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text,
+        size, coalesce(list_transform(list_sort(list_transform(range(1, len(fonts) + 1), lambda i: {{'n': -len(list_filter(fonts, lambda f: f = fonts[i])), 'i': i}})), lambda z: fonts[z.i])[1], '') AS fontname, x0, x1, top, bottom, n_chars, pieces FROM ln WHERE n_chars > 0)"""
+
+
+@query(f"WITH {B}, {LINES} SELECT * FROM lines")
+def page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the positioned pieces of every page: by column and row, with spaces at gaps, and the dominant font."""
+    b = blocks(spark, d)
+    return layout.build_lines(b, layout.gutters(b))
+
+
+@query(f"WITH {B}, bb AS (SELECT *, median(bottom - top) OVER (PARTITION BY doc_id, page_index) AS m FROM b) SELECT block_id, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY round_even((top + bottom) / 2 / coalesce(greatest(0.5, m * 0.6), 1.0), 0) NULLS FIRST, x0 NULLS FIRST, block_order) AS place FROM bb")
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    return layout.reading_order(blocks(spark, d)).select("block_id", "place")
+
+
+@query(f"WITH {B}, t AS (SELECT doc_id, max(bottom) AS h FROM b GROUP BY 1) SELECT block_id FROM b JOIN t USING (doc_id) WHERE top BETWEEN 0.08 * h AND 0.92 * h")
+def band_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines between the running heads and feet: within the middle 84 per cent of the height."""
+    return layout.in_band(blocks(spark, d), 0.08, 0.92).select("block_id")
+
+
+@query(f"""WITH {B}, f AS (SELECT doc_id, regexp_replace(fontname, '^.*\\+', '') AS font, size, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS chars FROM b WHERE fontname IS NOT NULL AND size IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, font, size) AS rank FROM f) WHERE rank <= 6""")
+def top_fonts(spark: SparkSession, d: str) -> DataFrame:
+    return layout.top_fonts(blocks(spark, d))
+
+
+@query(f"WITH {B} SELECT doc_id, count(*) AS pieces, round(avg(CASE WHEN (CASE {' '.join(f"WHEN contains({WEIGHT}, '{p}') THEN {w}" for p, w in layout.FONT_WEIGHTS)} END) IS NULL THEN 0 ELSE 1 END), 6) AS known FROM b GROUP BY 1")
+def weight_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return layout.weight_coverage(blocks(spark, d)).withColumn("known", F.round("known", 6))
+
+
+@query(f"""
+    WITH {B}, {SIZES}, {LINES}, a AS (SELECT doc_id, count(*) AS pieces, count(*) FILTER (crosses) AS crossing, round(avg(n_chars), 3) AS mean_chars FROM b LEFT JOIN co USING (block_id) GROUP BY 1), l AS (SELECT doc_id, count(*) AS lines FROM lines GROUP BY 1)
+    SELECT doc_id, pieces, coalesce(lines, 0) AS lines, pieces - coalesce(lines, 0) AS joined, crossing, mean_chars, modal_size FROM a LEFT JOIN l USING (doc_id) LEFT JOIN sizes USING (doc_id)""")
+def document_audit(spark: SparkSession, d: str) -> DataFrame:
+    """By document: pieces, lines that they make, the difference, pieces across a gutter, mean characters, commonest size."""
+    b = blocks(spark, d)
+    gaps = layout.gutters(b)
+    pieces = layout.with_columns(b, gaps).groupBy("doc_id").agg(F.count("*").alias("pieces"), F.count_if("crosses").alias("crossing"), F.round(F.avg("n_chars"), 3).alias("mean_chars"))
+    lines = layout.build_lines(b, gaps).groupBy("doc_id").agg(F.count("*").alias("lines"))
+    joined = pieces.join(lines, "doc_id", "left").join(layout.body_sizes(b).select("doc_id", "modal_size"), "doc_id", "left").na.fill(0, ["lines"])
+    return joined.select("doc_id", "pieces", "lines", (F.col("pieces") - F.col("lines")).alias("joined"), "crossing", "mean_chars", "modal_size")
 
 
 @query(f"""

@@ -79,13 +79,20 @@ def test_columns(spark):
     assert layout.gutters(df, 362.0, 8).count() == 0
 
 
-def test_line_assembly(spark):
-    rows = [("d", 1, 0, 0, c, x, x + 5.0, 10.0, i) for i, (c, x) in enumerate([("앞", 10.0), ("뒤", 70.0), ("글", 75.0)])]
-    df = spark.createDataFrame(rows, "doc_id string, page_index int, block_order int, col_index int, char string, x0 double, x1 double, size double, seq int")
-    r = layout.assemble_lines(df).first()
-    assert (r["text"], r["n_chars"], r["size"]) == ("앞 뒤글", 3, 10.0)
-    back = layout.assemble_lines(layout.glyphs(lines(spark, [(1, 0, "두 낱말"), (1, 1, "")]))).collect()
-    assert [b["text"] for b in back] == ["두 낱말"]
+def test_line_building(spark):
+    rows = [("앞", 10.0, 15.0), ("뒤", 70.0, 75.0), ("글", 75.0, 80.0)]
+    df = spark.createDataFrame([("d", 1, i, 0, t, 10.0, "ABCDEF+Batang" if i else "Gulim", a, b, 100.0 + i % 2, 110.0 + i % 2, 1) for i, (t, a, b) in enumerate(rows)], LINES)
+    none = layout.gutters(df.limit(0))
+    r = layout.build_lines(df, none).first()
+    assert (r["text"], r["n_chars"], r["size"], r["fontname"], r["pieces"]) == ("앞 뒤글", 3, 10.0, "Batang", 3)
+    gap = spark.createDataFrame([("d", 1, 30.0, 50.0)], "doc_id string, page_index int, lo double, hi double")
+    assert {(r["column"], r["text"]) for r in layout.build_lines(df, gap).collect()} == {(0, "앞"), (1, "뒤글")}
+    wide = df.unionAll(spark.createDataFrame([("d", 1, 9, 0, "x", 10.0, None, 20.0, 60.0, 200.0, 210.0, 1), ("d", 1, 10, 0, None, None, None, None, None, None, None, None), ("d", 1, 11, 0, "  ", 9.0, "f", 1.0, 2.0, 300.0, 310.0, 0)], LINES))
+    assert [r["block_order"] for r in layout.with_columns(wide, gap).where("crosses").collect()] == [9]
+    assert layout.build_lines(wide, gap).count() == 3 and layout.build_lines(df.limit(0), gap).count() == 0
+    order = [r["block_order"] for r in layout.reading_order(df).orderBy("place").collect()]
+    assert order == [0, 1, 2]
+    assert {r["block_order"] for r in layout.in_band(wide, 0.4, 0.9).collect()} == {9}
 
 
 def test_section_tree_and_chunks(spark):
