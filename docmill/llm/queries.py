@@ -13,14 +13,15 @@ SECTION_LIMIT, CHUNK_LIMIT, CHUNK_TOKENS, OVERLAP = 1200, 1200, 900, 120
 DIM = 48
 
 
-def _split_sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Sections and chunks as (kind, item_id, __pieces)."""
+def _split_sources(spark: SparkSession, sf_dir: str, once: bool = False) -> list[DataFrame]:
+    """Sections and chunks as (kind, item_id, __pieces); repeated rows ``once`` ahead of the splitting."""
     found = []
     for kind, key, name, tokens in (
         ("section", "section_id", "sections", None),
         ("chunk", "chunk_id", "chunks", CHUNK_TOKENS),
     ):
         rows = table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(key).alias("item_id"), "body")
+        rows = rows.dropDuplicates(["kind", "item_id"]) if once else rows
         found.append(splitting.split_items(rows, "body", SECTION_LIMIT if tokens is None else CHUNK_LIMIT, OVERLAP, tokens))
     return found
 
@@ -36,9 +37,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ordered pieces of every section and chunk, repeated rows once."""
     a, b = (
-        splitting.explode_pieces(s, "kind", "item_id") for s in _split_sources(spark, sf_dir)
+        splitting.explode_pieces(s, "kind", "item_id") for s in _split_sources(spark, sf_dir, once=True)
     )
-    return a.unionAll(b).dropDuplicates(["kind", "item_id", "piece_no"])
+    return a.unionAll(b)
 
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,13 +106,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every card, chunk and line in another language, with the stored label.
 
-    kind, item_id, line_no (0 for cards and chunks), label (null if missing), language, confidence.
+    kind, item_id, line_no (0 for cards and chunks), label (null if missing), language, confidence. A chunk without words, and a
+    card whose document has no chunk with words, has a null language and confidence 0.
     """
     chunks = table(spark, sf_dir, "chunks")
     model = language.train(chunks, "chunk_id", "text", "language")
     rows = chunks.withColumn("label", language.clean_label(F.col("language")))
-    judged = materialize(language.detect(rows, ["chunk_id", "doc_id", "label"], "text", model).where("lang is not null"), "judged")
-    counts = judged.select("doc_id", "chunk_id", "lang").distinct().groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
+    judged = materialize(language.detect(rows, ["chunk_id", "doc_id", "label"], "text", model), "judged")
+    counts = judged.where("lang is not null").select("doc_id", "chunk_id", "lang").distinct().groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
     right = language.mixed_or_top(counts, "doc_id")
     cards = table(spark, sf_dir, "doc_cards").select("doc_id", language.clean_label(F.col("language")).alias("label")).distinct()
     none = F.lit(0)
@@ -122,7 +124,7 @@ def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit("segment").alias("kind"), "chunk_id", "line_no", F.lit(None).cast("string").alias("label"), "lang", "confidence"
             )
         )
-        .unionAll(cards.join(right, "doc_id").select(F.lit("card"), "doc_id", none, "label", "lang", "confidence"))
+        .unionAll(cards.join(right, "doc_id", "left").select(F.lit("card"), "doc_id", none, "label", "lang", F.coalesce("confidence", F.lit(0.0))))
         .withColumnRenamed("lang", "language")
         .dropDuplicates(["kind", "item_id", "line_no", "label"])
     )
@@ -132,7 +134,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards and chunks whose label is missing or wrong, and lines in another language than their text, with the right one."""
     return (
         p4_languages(spark, sf_dir)
-        .where(~F.col("label").eqNullSafe(F.col("language")))
+        .where(F.col("language").isNotNull() & ~F.col("label").eqNullSafe(F.col("language")))
         .select("kind", "item_id", "line_no", "language")
         .distinct()
     )

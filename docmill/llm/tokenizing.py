@@ -18,6 +18,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -224,8 +225,11 @@ def _batches(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBa
 
 
 def _map(df: DataFrame, text: str, keys: list[str], out: str, kind: str, path: str, pattern: str) -> DataFrame:
+    df.sparkSession.sparkContext.addFile(path)  # executors get the vocabulary with the job
+    shipped = os.path.basename(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = Encoder(SparkFiles.get(shipped), pattern)
         for whole in batches:
             for batch in _batches(whole):
                 texts = batch.column("__text").to_pylist()
