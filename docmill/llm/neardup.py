@@ -32,8 +32,8 @@ from docmill.sources.tables import materialize
 #: Segments of the fingerprint, characters per piece, and the similarity that counts.
 SEGMENTS, GRAM, THRESHOLD = 18, 3, 0.7
 #: Sketch: bits kept beside the 16 bits of the set's size, and the most that may differ.
-#: At similarity 0.7 they differ in 36 +- 5.5 places; 63 is 4.9 deviations away: one pair in two million at just 0.7 is lost to it, far fewer than to the keys.
-SKETCH_BITS, SKETCH_MOST = 240, 63
+#: At similarity 0.7 they differ in 36 +- 5.5 places; 59 is 4.3 deviations away: one pair in 100,000 at just 0.7 is lost to it, far fewer than to the keys.
+SKETCH_BITS, SKETCH_MOST = 240, 59
 _LONGS = ("s1", "s2", "s3", "s4")
 SIZE_MOST = 65535
 #: Characters handled at once inside a task.
