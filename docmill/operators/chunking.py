@@ -6,17 +6,17 @@ so that no task gets a whole document unless the document has no such place.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmill.functions.text import token_count
+from docmill.functions.text import SPACE, token_count
+from docmill.sources.tables import materialize
 
-#: Characters of a chunk at most, and of a group of short sections at least; lines per block of a running number.
-MAX_CHARS, MIN_CHARS, BLOCK = 1200, 120, 4096
+#: Characters of a chunk at most, and of a group of short sections at least; sections per block of a running number, and lines per block of a document without headings.
+MAX_CHARS, MIN_CHARS, BLOCK, LINES = 1200, 120, 4096, 4096
 
 
 def running_number(df: DataFrame, group: str, order: list[str], value: Column, out: str, parts: str) -> DataFrame:
@@ -34,13 +34,18 @@ def section_heads(headings: DataFrame, top: int = 6) -> DataFrame:
     """Paths of headings (doc_id, page_index, block_order, title, level): seq, path, depth, parent seq.
 
     An ancestor of a heading is the last heading of a lower level ahead of it that no heading of a level lower still has ended
-    since. For each level that is one running maximum, so the stack is ``top`` window columns instead of a loop; levels beyond ``top`` count as ``top``.
+    since. For each level that is one running maximum, taken in two steps like :func:`running_number` (within a page, and over the pages' last headings), so
+    the stack is ``top`` columns instead of a loop, and a document's headings are spread over its pages; levels beyond ``top`` count as ``top``.
     """
-    order = Window.partitionBy("doc_id").orderBy("page_index", "block_order")
-    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = headings.withColumn("level", F.least("level", F.lit(top))).withColumn("seq", (F.row_number().over(order) - 1).cast("int"))
-    last = {k: F.max(F.when(F.col("level") == k, F.struct("seq", "title"))).over(ahead) for k in range(1, top + 1)}
-    rows = rows.withColumns({f"__l{k}": c for k, c in last.items()})
+    rows = headings.withColumn("level", F.least("level", F.lit(top)))
+    rows = materialize(running_number(rows, "doc_id", ["page_index", "block_order"], F.lit(1), "seq", "page_index").withColumn("seq", (F.col("seq") - 1).cast("int")), "heads")
+    of = {k: F.max(F.when(F.col("level") == k, F.struct("seq", "title"))) for k in range(1, top + 1)}
+    pages = rows.groupBy("doc_id", "page_index").agg(*(c.alias(f"__p{k}") for k, c in of.items()))
+    before = Window.partitionBy("doc_id").orderBy("page_index").rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.select("doc_id", "page_index", *(F.max(f"__p{k}").over(before).alias(f"__p{k}") for k in of))
+    ahead = Window.partitionBy("doc_id", "page_index").orderBy("block_order").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"__o{k}": c.over(ahead) for k, c in of.items()}).join(pages, ["doc_id", "page_index"])
+    rows = rows.withColumns({f"__l{k}": F.coalesce(f"__o{k}", f"__p{k}") for k in of})
     # an ancestor of level k counts if it is below the heading's level and came after every ancestor of a lower level
     chain = F.filter(
         F.array(*(F.when((F.lit(k) < F.col("level")) & F.greatest(*(F.coalesce(F.col(f"__l{j}.seq"), F.lit(-1)) for j in range(1, k)), F.lit(-1), F.lit(-1)).__lt__(F.coalesce(F.col(f"__l{k}.seq"), F.lit(-1))), F.col(f"__l{k}")) for k in range(1, top + 1))),
@@ -125,60 +130,83 @@ def chunk_sections(rows: DataFrame, limit: int = MAX_CHARS, least: int = MIN_CHA
         "doc_id", "g", F.posexplode(split_body(body, limit)).alias("piece", "body")
     ).where(F.trim(F.translate("body", "\n\t\r", "   ")) != "")
     first, last = F.col("g")[0], F.element_at("g", -1)
-    number = Window.partitionBy("doc_id").orderBy("first_seq", "piece")
-    return (
+    numbered = (
         pieces.select("doc_id", first["seq"].alias("first_seq"), "piece", F.transform("g", lambda x: x["section_id"]).alias("section_ids"), first["title"].alias("title"), first["path"].alias("path"), first["depth"].alias("depth"), first["start_page"].alias("page"), last["end_page"].alias("end_page"), "body")
-        .withColumn("seq", (F.row_number().over(number) - 1).cast("int"))
-        .select(
+        .withColumn("__part", F.floor(F.col("first_seq") / BLOCK))
+    )
+    numbered = running_number(numbered, "doc_id", ["first_seq", "piece"], F.lit(1), "seq", "__part").withColumn("seq", (F.col("seq") - 1).cast("int"))
+    return numbered.select(
             "doc_id", F.format_string("%s#c%04d", "doc_id", "seq").alias("chunk_id"), "seq", "section_ids", "title", "path", "depth", "page", "end_page", "body",
             F.when(F.coalesce("path", F.lit("")) != "", F.concat("path", F.lit("\n\n"), "body")).otherwise(F.col("body")).alias("text"),
             F.length("body").alias("char_len"), token_count(F.col("body")).alias("token_len"),
-        )
     )
 
 
-def chunk_fixed(lines: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
-    """Chunks of lines without headings: doc_id, seq, page, end_page, body; lines in reading order until the next would exceed the limit.
+def chunk_fixed(lines: DataFrame, limit: int = MAX_CHARS, block_lines: int = LINES) -> DataFrame:
+    """Chunks of lines without headings: doc_id, seq, page, end_page, body; lines in reading order until the next would exceed the limit. Blank chunks are left out and not counted.
 
-    Each break depends on all before it. The lines therefore stream through sorted partitions, of which a task holds the open chunk alone.
+    Each break depends on all before it, but only through the line at which the open chunk began. So a document's lines are cut into blocks, and a
+    task finds for its block where a chunk that begins at any of the first lines of the block would break, up to the first break in the next
+    block. As a chunk has ``limit`` characters and each line counts one at least, that is at most ``limit`` entries a block and no chunk spans three (``block_lines`` must exceed ``limit``). What remains of a
+    document is a walk over its blocks, a few numbers each; then every block makes its own chunks. No task gets a document's lines.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, seq, size, held = None, 0, 0, []
-        out: list[tuple] = []
-
-        def flush() -> None:
-            nonlocal seq, size, held
-            body = "\n".join(t for _, t in held)
-            if body.strip():
-                out.append((doc, seq, held[0][0], held[-1][0], body))
-                seq += 1
-            size, held = 0, []
-
-        for batch in batches:
-            for d, page, text in zip(batch["doc_id"], batch["page_index"], batch["text"]):
-                text = text or ""
-                if d != doc:
-                    if held:
-                        flush()
-                    doc, seq = d, 0
-                if held and size + len(text) + 1 > limit:
-                    flush()
-                held.append((int(page), text))
-                size += len(text) + 1
-            yield pd.DataFrame(out, columns=["doc_id", "seq", "page", "end_page", "body"])
-            out = []
-        if held:
-            flush()
-            yield pd.DataFrame(out, columns=["doc_id", "seq", "page", "end_page", "body"])
-
-    return (
-        lines.select("doc_id", "page_index", "block_order", "text")
-        .repartition("doc_id")
-        .sortWithinPartitions("doc_id", "page_index", "block_order")
-        .select("doc_id", "page_index", "text")
-        .mapInPandas(run, "doc_id string, seq int, page int, end_page int, body string")
-    )
+    if block_lines <= limit:
+        raise ValueError("a block must have more lines than a chunk may have characters")
+    keys = ["page_index", "block_order"]
+    rows = running_number(lines.select("doc_id", *keys, F.coalesce("text", F.lit("")).alias("text")), "doc_id", keys, F.lit(1), "line", "page_index")
+    rows = materialize(rows.select("doc_id", (F.col("line") - 1).alias("line"), "page_index", "text", F.floor((F.col("line") - 1) / block_lines).alias("block")), "lines")
+    sizes = rows.select("doc_id", "block", "line", F.length("text").alias("n"))
+    # a block sees the first lines of the next one, so that it can say where a chunk that is open at its end breaks
+    seen = sizes.unionAll(sizes.where((F.col("block") > 0) & (F.col("line") % block_lines <= limit)).withColumn("block", F.col("block") - 1))
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line")
+        line, ends = pdf["line"].to_numpy(), np.cumsum(pdf["n"].to_numpy() + 1)
+        doc, block = pdf["doc_id"].iat[0], int(pdf["block"].iat[0])
+        starts = ends - (pdf["n"].to_numpy() + 1)
+        after = np.maximum(np.searchsorted(ends, starts + limit, side="right"), np.arange(len(line)) + 1)  # the line at which a chunk begun here breaks
+        own = int((line < (block + 1) * block_lines).sum())
+        out = np.arange(len(line) + 1)
+        for i in range(own - 1, -1, -1):
+            out[i] = out[after[i]] if after[i] < own else after[i]
+        first = min(own, limit + 1)
+        return pd.DataFrame({"doc_id": doc, "block": block, "exits": [(line[0] + out[:first]).tolist()]})
+
+    ways = seen.groupBy("doc_id", "block").applyInPandas(exits, "doc_id string, block long, exits array<long>")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        entry, found = 0, []
+        for block, ends in zip(*(pdf.sort_values("block")[c] for c in ("block", "exits"))):
+            found.append((pdf["doc_id"].iat[0], int(block), int(entry)))
+            at = entry - int(block) * block_lines
+            entry = int(ends[at]) if at < len(ends) else entry
+        return pd.DataFrame(found, columns=["doc_id", "block", "entry"])
+
+    entries = ways.groupBy("doc_id").applyInPandas(walk, "doc_id string, block long, entry long")
+
+    def breaks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line")
+        entry, line, size = int(pdf["entry"].iat[0]), pdf["line"].to_numpy(), pdf["n"].to_numpy() + 1
+        begun, held, out = -1, 0, np.full(len(line), -1, dtype=np.int64)
+        for i in range(len(line)):
+            if line[i] < entry:
+                continue  # it belongs to the chunk that an earlier block began
+            if begun < 0 or held + size[i] > limit:
+                begun, held = line[i], 0
+            held += size[i]
+            out[i] = begun
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "line": line, "begun": out})
+
+    begun = sizes.join(entries, ["doc_id", "block"]).groupBy("doc_id", "block").applyInPandas(breaks, "doc_id string, line long, begun long")
+    # lines ahead of a block's entry belong to the last chunk that began before
+    last = begun.where("begun >= 0").groupBy("doc_id", F.floor(F.col("line") / block_lines).alias("block")).agg(F.max("begun").alias("last"))
+    carried = last.select("doc_id", (F.col("block") + 1).alias("block"), F.col("last"))
+    owned = rows.join(begun, ["doc_id", "line"]).join(carried, ["doc_id", "block"], "left").withColumn("begun", F.when(F.col("begun") < 0, F.col("last")).otherwise(F.col("begun")))
+    made = owned.groupBy("doc_id", "begun").agg(F.array_sort(F.collect_list(F.struct("line", "page_index", "text"))).alias("l"))  # one chunk
+    body = F.array_join(F.transform("l", lambda x: x["text"]), "\n")
+    shown = made.select("doc_id", "begun", F.col("l")[0]["page_index"].cast("int").alias("page"), F.element_at("l", -1)["page_index"].cast("int").alias("end_page"), body.alias("body")).where(~F.col("body").rlike(rf"^[{SPACE}]*$"))
+    shown = shown.withColumn("__part", F.floor(F.col("begun") / block_lines))
+    return running_number(shown, "doc_id", ["begun"], F.lit(1), "seq", "__part").select("doc_id", (F.col("seq") - 1).cast("int").alias("seq"), "page", "end_page", "body")
 
 
 def chunk_report(chunks: DataFrame, sections_: DataFrame, limit: int = MAX_CHARS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docmill.functions import text as X
 from docmill.functions.text import SPACE, TOKEN
 from docmill.operators import chunking, layout
-from docmill.sources.tables import table
+from docmill.sources.tables import materialize, table
 
 QUERIES, ORACLES = {}, {}
 LINE = ("doc_id", "page_index", "block_order")
@@ -192,7 +192,7 @@ def font_headings(spark: SparkSession, d: str) -> DataFrame:
       y AS (SELECT doc_id, upto - 1 AS seq, max(page_index) AS end_page, count(*) FILTER (head IS NULL) AS block_count, sum(length(coalesce(text, ''))) FILTER (head IS NULL) AS n FROM m WHERE upto > 0 GROUP BY 1, 2)
     SELECT doc_id, CAST(seq AS INTEGER) AS seq, path, depth, CASE WHEN parent_seq IS NOT NULL THEN format('{{}}#s{{:04d}}', doc_id, parent_seq) END AS parent_id, end_page, block_count, CAST(coalesce(n, 0) + greatest(block_count - 1, 0) AS BIGINT) AS chars FROM r JOIN y USING (doc_id, seq)""")
 def layout_sections(spark: SparkSession, d: str) -> DataFrame:
-    heads = chunking.section_heads(_headings(spark, d))
+    heads = materialize(chunking.section_heads(_headings(spark, d)), "section-heads")
     s = chunking.sections(blocks(spark, d), heads)
     return s.select(
         "doc_id", "seq", "path", "depth", "parent_id", "end_page", F.col("block_count").cast("long").alias("block_count"), F.length("body").cast("long").alias("chars")

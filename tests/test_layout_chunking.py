@@ -118,3 +118,27 @@ def test_split_body_and_fixed(spark):
     made = chunking.chunk_fixed(lines(spark, rows).unionAll(lines(spark, rows[:3], "e")), 500).collect()
     assert sum(len(r["body"].split("\n")) for r in made) == 33 and all(len(r["body"]) <= 500 for r in made)
     assert chunking.chunk_fixed(lines(spark, rows).limit(0)).count() == 0
+
+
+def test_fixed_chunks_equal_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = {"big": [rng.choice(["", "  ", "x" * rng.randint(1, 30)]) for _ in range(400)], "blank": ["", " "], "one": ["y" * 99]}
+    df = spark.createDataFrame([("d", 1, 0, 0, "t", 1.0, "f", 0.0, 1.0, 0.0, 1.0, 1)], LINES).limit(0)
+    rows = [(d, 1 + i // 7, i % 7, 0, t, 1.0, "f", 0.0, 1.0, 0.0, 1.0, 1) for d, ls in docs.items() for i, t in enumerate(ls)]
+    df = df.unionAll(spark.createDataFrame(rows, LINES))
+    want = []
+    for d, ls in docs.items():
+        held, size, made = [], 0, []
+        for t in ls:
+            if held and size + len(t) + 1 > 20:
+                made.append("\n".join(held))
+                held, size = [], 0
+            held.append(t)
+            size += len(t) + 1
+        made.append("\n".join(held))
+        want += [(d, i, body) for i, body in enumerate(b for b in made if b.strip())]
+    got = [(r["doc_id"], r["seq"], r["body"]) for r in chunking.chunk_fixed(df, 20, 32).collect()]
+    assert sorted(got) == sorted(want)
+    assert chunking.chunk_fixed(df.limit(0)).count() == 0
