@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from docmill.functions import text as X
 from docmill.operators import chunking, evaluation, retrieval
 from docmill.plans.layout_queries import C, blocks, chunks
-from docmill.plans.retrieval_queries import BM25, CARDS, DIM, HITS, bm25_sql, card_legs, cards, chunk_scores, hits, questions
+from docmill.plans.retrieval_queries import BM25, CARD, CARDS, DIM, HITS, VEC, bm25_sql, card_legs, cards, chunk_scores, hits, questions, vectors
 from docmill.sources import index_store
 from docmill.sources.tables import materialize, scratch, table
 
@@ -79,7 +79,12 @@ def lexical_routing(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.collapse(scored, "chunk_id", "doc_id", 2).select("query_id", "doc_id", "rank")
 
 
-@query()
+@query(f"""
+    WITH l AS (WITH {C}, {BM25}, r AS (SELECT query_id, doc_id, key, score, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, key) AS i FROM scored JOIN c ON c.chunk_id = key)
+           SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE i = 1),
+      k2 AS (WITH {CARDS} SELECT query_id, doc_id, rank FROM cardfuse WHERE rank <= 3),
+      f AS (SELECT query_id, doc_id, min(spot) AS spot FROM (SELECT query_id, doc_id, rank AS spot FROM l WHERE rank <= 2 UNION ALL SELECT query_id, doc_id, 10 + rank FROM k2) GROUP BY 1, 2)
+    SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY spot, doc_id) AS place FROM f""")
 def routed_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each question in order: by their chunks' words, then by their cards; each once."""
     by_card = retrieval.fuse_legs(card_legs(spark, d), "doc_id", 3).select("query_id", F.col("doc_id").alias("chunk_id"), "rank")
@@ -87,6 +92,31 @@ def routed_documents(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumnRenamed("chunk_id", "doc_id")
 
 
+EXTRA = 2
+VARIANTS = f"""SELECT id || '|0' AS query_id, query FROM questions UNION ALL
+      SELECT query_id || '|' || i, requirement FROM (SELECT query_id, requirement, row_number() OVER (PARTITION BY query_id ORDER BY requirement) AS i FROM (SELECT DISTINCT query_id, requirement FROM quotes WHERE requirement IS NOT NULL AND query_id IN (SELECT id FROM questions))) WHERE i <= {EXTRA}"""
+
+
+@query(f"""
+    WITH {C}, {CARD}, {VEC}, {bm25_sql('c', 'chunk_id', retrieval.CHUNK_FIELDS, retrieval.CHUNK_PHRASES, VARIANTS)},
+      vl AS (SELECT split_part(query_id, '|', 1) AS query_id, split_part(query_id, '|', 2) AS leg, key AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM scored),
+      al2 AS (SELECT query_id, chunk_id, rank FROM vl WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, rank FROM vec),
+      fz AS (SELECT query_id, chunk_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) AS fused FROM al2 GROUP BY 1, 2))
+    SELECT query_id, chunk_id, fused, rank, CASE WHEN query_id IN (SELECT query_id FROM uq) THEN '' ELSE 'knn' END AS degraded FROM fz WHERE rank <= 5""")
+def multi_query_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each question with up to two of its requirements as further queries: a BM25 leg for each and the vector leg, fused by rank; ``degraded`` names a leg that could not run."""
+    q = questions(spark, d)
+    needs = table(spark, d, "quotes").where("requirement is not null").select("query_id", F.col("requirement").alias("query")).distinct().join(q.select("query_id").distinct(), "query_id", "left_semi")
+    numbered = needs.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy("query"))).where(F.col("i") <= EXTRA)  # a question's few requirements
+    variants = q.select("query_id", "query", F.lit(0).alias("i")).unionByName(numbered).select(F.concat_ws("|", "query_id", F.col("i").cast("string")).alias("query_id"), "query")
+    lex = retrieval.top(chunk_scores(spark, d, variants), "chunk_id", retrieval.CANDIDATES)
+    part = F.split("query_id", r"\|")
+    legs = lex.select(part[0].alias("query_id"), F.concat(F.lit("bm25+"), part[1]).alias("leg"), "chunk_id", "rank").unionAll(vectors(spark, d).select("query_id", F.lit("knn").alias("leg"), "chunk_id", "rank"))
+    able = q.select("query_id", "doc_id").join(cards(spark, d).where(retrieval.usable("embedding", DIM)).select("doc_id"), "doc_id").select("query_id").distinct().withColumn("able", F.lit(True))
+    best = retrieval.rrf(legs, "chunk_id").where("rank <= 5").join(able, "query_id", "left")
+    return best.select("query_id", "chunk_id", "fused", "rank", F.when(F.col("able"), "").otherwise("knn").alias("degraded"))
+
+
 @query(f"""
     WITH {C}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq, chunk_id) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM c),
       w AS (SELECT DISTINCT doc_id, CASE WHEN least(20, n) = 1 THEN 0 ELSE CAST(round_even(unnest(range(0, least(20, n))) * (n - 1) / (least(20, n) - 1), 0) AS BIGINT) END AS i FROM (SELECT doc_id, count(*) AS n FROM c GROUP BY 1))

@@ -120,10 +120,24 @@ def section_packs(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(first, ["doc_id", "run", "group"]).select("section_id", "first_seq")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {S}, o AS (SELECT doc_id, seq, section_id, length(coalesce(body, '')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i FROM s),
+      r AS (SELECT doc_id, i, section_id, seq, seq AS first_seq, n AS total FROM o WHERE i = 1 UNION ALL
+        SELECT o.doc_id, o.i, o.section_id, o.seq, CASE WHEN r.total >= 120 THEN o.seq ELSE r.first_seq END, CASE WHEN r.total >= 120 THEN o.n ELSE r.total + o.n END
+        FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1),
+      g AS (SELECT r.doc_id, first_seq, string_agg(CASE WHEN r.seq > first_seq AND title IS NOT NULL THEN title || chr(10) ELSE '' END || coalesce(body, ''), chr(10) ORDER BY r.seq) AS body, string_agg(r.section_id, ',' ORDER BY r.seq) AS section_ids,
+        min_by(title, r.seq) AS title, min_by(path, r.seq) AS path, min_by(depth, r.seq) AS depth, min_by(start_page, r.seq) AS page, max_by(end_page, r.seq) AS end_page FROM r JOIN s USING (section_id) GROUP BY 1, 2),
+      t AS (SELECT doc_id, first_seq, string_split(body, chr(10)) AS l FROM g WHERE length(body) > 1200),
+      w AS (SELECT doc_id, first_seq, l, 1 AS i, 0 AS piece, length(l[1]) + 1 AS size FROM t UNION ALL
+        SELECT doc_id, first_seq, l, i + 1, CASE WHEN size + length(l[i + 1]) + 1 > 1200 THEN piece + 1 ELSE piece END,
+          CASE WHEN size + length(l[i + 1]) + 1 > 1200 THEN length(l[i + 1]) + 1 ELSE size + length(l[i + 1]) + 1 END FROM w WHERE i < len(l)),
+      p AS (SELECT doc_id, first_seq, piece, string_agg(l[i], chr(10) ORDER BY i) AS body FROM w GROUP BY 1, 2, 3 UNION ALL SELECT doc_id, first_seq, 0, body FROM g WHERE length(body) <= 1200),
+      q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_seq, piece) - 1 AS seq FROM p WHERE trim(translate(body, chr(10) || chr(9) || chr(13), '   ')) <> '')
+    SELECT q.doc_id, format('{{}}#c{{:04d}}', q.doc_id, seq) AS chunk_id, seq, section_ids, title, path, depth, page, end_page, q.body, CASE WHEN coalesce(path, '') <> '' THEN path || chr(10) || chr(10) || q.body ELSE q.body END AS text,
+      length(q.body) AS char_len, len(regexp_extract_all(q.body, '{TOKEN}')) AS token_len FROM q JOIN g USING (doc_id, first_seq)""")
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     s = sections(spark, d).select("doc_id", "section_id", "seq", "title", "path", "depth", "start_page", "end_page", "body")
-    return chunking.chunk_sections(s)
+    return chunking.chunk_sections(s).withColumn("section_ids", F.array_join("section_ids", ","))
 
 
 @query(f"""
