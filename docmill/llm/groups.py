@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.sources.tables import materialize
+from docmill.sources.tables import discard, materialize
 
 
 def connected(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFrame:
@@ -26,6 +26,8 @@ def connected(nodes: DataFrame, pairs: DataFrame, rounds: int = 200) -> DataFram
         seen = jumped.join(around, "tid").select("tid", "group", F.least("next", "near").alias("near"))
         hooks = seen.groupBy("group").agg(F.min("near").alias("hook")).withColumnRenamed("group", "tid")
         new = materialize(seen.join(hooks, "tid", "left").select("tid", F.col("group").alias("old"), F.least("near", F.coalesce("hook", "near")).alias("group")), "labels")
+        discard(jumped)
+        discard(labels)
         labels = new.select("tid", "group")
         if not new.where(F.col("old") != F.col("group")).limit(1).count():
             break
