@@ -54,7 +54,7 @@ def section_routing(spark: SparkSession, d: str) -> DataFrame:
     asked = questions(spark, d).select("query_id", "query", "doc_id")
     vector = asked.join(cards(spark, d).select("doc_id", F.col("embedding").alias("vector")), "doc_id").select("query_id", "vector")
     legs = {
-        "bm25": retrieval.top(retrieval.bm25(asked.select("query_id", "query"), c.select("card_id", "text"), "card_id", {"text": 1.0}), "card_id", SECTION_TOP),
+        "bm25": retrieval.top(retrieval.bm25(asked.select("query_id", "query"), c.select("card_id", "text"), "card_id", {"text": 1.0}, k=SECTION_TOP), "card_id", SECTION_TOP),
         "knn": retrieval.knn(vector, c.select("card_id", "vector"), "card_id", DIM, SECTION_TOP),
     }
     best = retrieval.fuse_legs(legs, "card_id", SECTION_TOP, SECTION_TOP).select("query_id", "card_id", F.col("rank").alias("card_rank"))
@@ -75,7 +75,7 @@ def mixed_pool(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, doc_id, rank FROM t WHERE rank <= 2""")
 def lexical_routing(spark: SparkSession, d: str) -> DataFrame:
     """The two documents with the best chunks of each question."""
-    scored = chunk_scores(spark, d, questions(spark, d).select("query_id", "query")).join(chunks(spark, d, "doc_id"), "chunk_id")
+    scored = chunk_scores(spark, d, questions(spark, d).select("query_id", "query"), 2, "doc_id")
     return retrieval.collapse(scored, "chunk_id", "doc_id", 2).select("query_id", "doc_id", "rank")
 
 
@@ -109,7 +109,7 @@ def multi_query_search(spark: SparkSession, d: str) -> DataFrame:
     needs = table(spark, d, "quotes").where("requirement is not null").select("query_id", F.col("requirement").alias("query")).distinct().join(q.select("query_id").distinct(), "query_id", "left_semi")
     numbered = needs.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy("query"))).where(F.col("i") <= EXTRA)  # a question's few requirements
     variants = q.select("query_id", "query", F.lit(0).alias("i")).unionByName(numbered).select(F.concat_ws("|", "query_id", F.col("i").cast("string")).alias("query_id"), "query")
-    lex = retrieval.top(chunk_scores(spark, d, variants), "chunk_id", retrieval.CANDIDATES)
+    lex = retrieval.top(chunk_scores(spark, d, variants, retrieval.CANDIDATES), "chunk_id", retrieval.CANDIDATES)
     part = F.split("query_id", r"\|")
     legs = lex.select(part[0].alias("query_id"), F.concat(F.lit("bm25+"), part[1]).alias("leg"), "chunk_id", "rank").unionAll(vectors(spark, d).select("query_id", F.lit("knn").alias("leg"), "chunk_id", "rank"))
     able = q.select("query_id", "doc_id").join(cards(spark, d).where(retrieval.usable("embedding", DIM)).select("doc_id"), "doc_id").select("query_id").distinct().withColumn("able", F.lit(True))
@@ -238,7 +238,7 @@ def generated_queries(spark: SparkSession, d: str) -> DataFrame:
 
 def _harvest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     asked = materialize(generated_queries(spark, d), "generated")
-    top = retrieval.top(chunk_scores(spark, d, asked.where("fits").select("query_id", "query")), "chunk_id", DEPTH)
+    top = retrieval.top(chunk_scores(spark, d, asked.where("fits").select("query_id", "query"), DEPTH), "chunk_id", DEPTH)
     right = asked.select("query_id", F.col("chunk_id").alias("own"))
     return asked, materialize(top.join(right, "query_id").withColumn("label", (F.col("chunk_id") == F.col("own")).cast("int")).drop("own"), "harvest")
 

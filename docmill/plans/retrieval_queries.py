@@ -42,15 +42,15 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_rows(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d, "title", "path", "text", "summary", "keywords", "entities")
+    return chunks(spark, d, "doc_id", "title", "path", "text", "summary", "keywords", "entities")
 
 
 def cards(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "doc_cards").dropDuplicates(["doc_id"])
 
 
-def index_of(spark: SparkSession, d: str, name: str, rows: DataFrame, key: str, fields: dict[str, float]) -> str:
-    """The inverted index of a table's rows, built once in a session for each state of its files."""
+def index_of(spark: SparkSession, d: str, name: str, rows: DataFrame, key: str, fields: dict[str, float], by: str | None = None) -> str:
+    """The index of a table's rows, built once in a session for each state of its files."""
     fs = lambda f: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
     files = sorted(table(spark, d, name).inputFiles())
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -59,26 +59,26 @@ def index_of(spark: SparkSession, d: str, name: str, rows: DataFrame, key: str,
     path = spark.conf.get(setting, None)
     if path is None:
         path = scratch(spark, f"index-{name}")
-        retrieval.write_index(rows, key, list(fields), path)
+        retrieval.write_index(rows, key, list(fields), path, by)
         spark.conf.set(setting, path)
     return path
 
 
-def chunk_scores(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
-    """BM25 with phrases of (query_id, query) over all chunks."""
+def chunk_scores(spark: SparkSession, d: str, asked: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """BM25 with phrases of (query_id, query) over all chunks: the best ``k`` chunks of each, or with ``by`` those of the best ``k`` documents."""
     rows = index_rows(spark, d)
-    index = index_of(spark, d, "chunks", rows, "chunk_id", retrieval.CHUNK_FIELDS)
-    return retrieval.bm25(asked, rows, "chunk_id", retrieval.CHUNK_FIELDS, index, retrieval.CHUNK_PHRASES)
+    index = index_of(spark, d, "chunks", rows, "chunk_id", retrieval.CHUNK_FIELDS, "doc_id")
+    return retrieval.bm25(asked, rows, "chunk_id", retrieval.CHUNK_FIELDS, index, retrieval.CHUNK_PHRASES, k, by)
 
 
-def card_scores(spark: SparkSession, d: str) -> DataFrame:
+def card_scores(spark: SparkSession, d: str, k: int) -> DataFrame:
     rows = cards(spark, d).select("doc_id", *retrieval.CARD_FIELDS)
     index = index_of(spark, d, "doc_cards", rows, "doc_id", retrieval.CARD_FIELDS)
-    return retrieval.bm25(questions(spark, d).select("query_id", "query"), rows, "doc_id", retrieval.CARD_FIELDS, index)
+    return retrieval.bm25(questions(spark, d).select("query_id", "query"), rows, "doc_id", retrieval.CARD_FIELDS, index, k=k)
 
 
 def lexical(spark: SparkSession, d: str, k: int = retrieval.CANDIDATES) -> DataFrame:
-    return retrieval.top(chunk_scores(spark, d, questions(spark, d).select("query_id", "query")), "chunk_id", k)
+    return retrieval.top(chunk_scores(spark, d, questions(spark, d).select("query_id", "query"), k), "chunk_id", k)
 
 
 def vectors(spark: SparkSession, d: str, k: int = retrieval.CANDIDATES) -> DataFrame:
@@ -181,15 +181,15 @@ def hits_without_near(spark: SparkSession, d: str) -> DataFrame:
       t AS (SELECT query_id, doc_id, key AS chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE i = 1)
     SELECT * FROM t WHERE rank <= 2""")
 def lexical_documents(spark: SparkSession, d: str) -> DataFrame:
-    scored = chunk_scores(spark, d, questions(spark, d).select("query_id", "query"))
-    return retrieval.collapse(scored.join(chunks(spark, d, "doc_id"), "chunk_id"), "chunk_id", "doc_id", 2).select("query_id", "doc_id", "chunk_id", "score", "rank")
+    scored = chunk_scores(spark, d, questions(spark, d).select("query_id", "query"), 2, "doc_id")
+    return retrieval.collapse(scored, "chunk_id", "doc_id", 2).select("query_id", "doc_id", "chunk_id", "score", "rank")
 
 
 def card_legs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Cards by their fields and by vector; as in :func:`vectors` a question's vector is that of the card of its document."""
     k = cards(spark, d).select("doc_id", F.col("embedding").alias("vector"))
     asked = questions(spark, d).select("query_id", "doc_id").join(k, "doc_id").select("query_id", "vector")
-    return {"bm25": retrieval.top(card_scores(spark, d), "doc_id", 20), "knn": retrieval.knn(asked, k, "doc_id", DIM, 20)}
+    return {"bm25": retrieval.top(card_scores(spark, d, 20), "doc_id", 20), "knn": retrieval.knn(asked, k, "doc_id", DIM, 20)}
 
 
 CARDS = f"""{CARD}, {bm25_sql('k', 'doc_id', retrieval.CARD_FIELDS)},
