@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 #: BM25 constants, share of the other fields in the best one's score, places that the terms of a phrase may be apart.
 K1, B, TIE, SLOP = 1.2, 0.75, 0.3, 2
 #: Rows and terms at which a block is closed, questions of a block, and questions and pairs that are worked on at once.
-ROWS, TERMS, ASKED, AT_ONCE, PAIRS = 8192, 2_000_000, 4096, 64, 250_000
+ROWS, TERMS, ASKED, AT_ONCE, PAIRS = 8192, 1_000_000, 4096, 32, 250_000
 #: A bound is an integer in steps of 1 / STEP, shifted by BITS bits; the bits below count the terms that a row has.
 STEP, BITS = 4096, 8
 
@@ -31,6 +31,16 @@ def _order(x: str | None) -> tuple[bool, bytes]:
     return x is not None, (x or "").encode("utf-8", "surrogatepass")  # as Spark sorts: nulls first, then by bytes
 
 
+def _hand_back() -> None:
+    """Freed memory back to the system, as idle workers stay beside the next tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)  # np.unique hashes, which takes ten times as long
     return x[np.diff(x, prepend=-1) != 0]
@@ -72,14 +82,18 @@ def pack_rows(fields: int):
     """Rows (key, by, terms_0...) to blocks, one a row; within a block they are sorted by ``by`` and key."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number = [], 0
+        held, rows, terms, number = [], 0, 0, 0
         for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= ROWS or sum(len(x.column(f"terms_{f}").flatten()) for x in held for f in range(fields)) >= TERMS:
-                yield _block(held, fields, task_number(number))
-                held, number = [], number + 1
-        if sum(x.num_rows for x in held):
+            for s in range(0, b.num_rows, 512):
+                held.append(b.slice(s, 512))
+                rows, terms = rows + held[-1].num_rows, terms + sum(len(held[-1].column(f"terms_{f}").flatten()) for f in range(fields))
+                if rows >= ROWS or terms >= TERMS:
+                    yield _block(held, fields, task_number(number))
+                    held, rows, terms, number = [], 0, 0, number + 1
+        if rows:
             yield _block(held, fields, task_number(number))
+        held = b = None
+        _hand_back()
 
     return pack
 
@@ -100,12 +114,14 @@ def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Rows:
     """A block of rows, as a row of a batch has it."""
 
-    def __init__(self, b: pa.RecordBatch, i: int, fields: int):
+    def __init__(self, b: pa.RecordBatch, i: int, fields: int, grouped: bool = True):
         at = lambda c: b.column(c)[i]
         ints = lambda c: np.frombuffer(x, dtype=np.int32) if len(x := at(c).as_buffer()) else np.empty(0, dtype=np.int32)
         self.words, self.lens, self.codes = at("words").values, [ints(f"lens_{f}") for f in range(fields)], [ints(f"codes_{f}") for f in range(fields)]
-        self.keys, self.groups = (np.array([*at(c).values.to_pylist(), None], dtype=object)[:-1] for c in ("keys", "groups"))
-        self.n, self.place = len(self.keys), ints("places")
+        listed = lambda c: np.array([*at(c).values.to_pylist(), None], dtype=object)[:-1]
+        self.keys, self.place = listed("keys"), ints("places")
+        self.n = len(self.keys)
+        self.groups = listed("groups") if grouped else np.full(self.n, None, dtype=object)
         self.hashes = np.array([hash(g) for g in self.groups], dtype=np.int64)
         self.starts = np.flatnonzero(np.diff(self.hashes, prepend=0) != 0) if self.n else np.empty(0, dtype=np.int64)
         self.starts = np.union1d(self.starts, [0])  # runs of one group
@@ -127,6 +143,7 @@ class Asked:
         for f in range(fields):
             self.idf[f, self.terms] = each.field(f"idf_{f}").to_numpy(zero_copy_only=False)
         self.sum_idf = {f: np.array([self.idf[f, self.terms[a:b]].sum() for a, b in zip(self.ptr, self.ptr[1:])]) for f in phrases}
+        self.most_extra = (K1 + 1) * np.max([w * self.sum_idf[f] for f, w in phrases.items()], axis=0) if phrases else np.zeros(len(self.ids))
         self.n_terms = pc.fill_null(t["n_terms"], 0).to_numpy().astype(np.int64)
         number = {w: i for i, w in enumerate(self.words.to_pylist())}
         lists = [[[number[w] for w in one] for one in each or []] for each in t["lists"].to_pylist()]
@@ -176,10 +193,15 @@ class Meeting:
         self.ptr = np.searchsorted(self.keys, np.arange(len(asked.words) + 1) * n)
         # what a question's terms add up to in single fields is at most the sum of what each term gives over all fields
         most = TIE * self.score.sum(0) + (1 - TIE) * self.score.max(0, initial=0)
-        self.bound = (np.ceil(most * STEP + 1e-6).astype(np.int64) << BITS) + 1
+        bound = (np.ceil(most * STEP + 1e-6).astype(np.int64) << BITS) + 1
+        term = np.append(bound, 0)
+        largest = np.where(np.diff(self.ptr) > 0, np.maximum.reduceat(term, self.ptr[:-1]), 0)
+        sums = np.concatenate([[0], np.cumsum(largest[asked.terms])])
+        fits = np.diff(sums[asked.ptr]).max(initial=0) < 1 << 31
+        self.bound = bound.astype(np.int32 if fits else np.int64)
 
     def bounds(self, s: int, e: int) -> np.ndarray:
-        out = np.zeros((e - s, self.r.n), dtype=np.int64)
+        out = np.zeros((e - s, self.r.n), dtype=self.bound.dtype)
         q = self.q
         for i in range(s, e):
             line = out[i - s]
@@ -264,21 +286,31 @@ class Meeting:
         for s in range(0, len(q.ids), AT_ONCE):
             e = min(s + AT_ONCE, len(q.ids))
             bounds = self.bounds(s, e)
-            # the k-th largest of some cells' largest bounds is reached by k rows, or groups, at least
-            cells = np.maximum.reduceat(bounds, self.r.starts if grouped else np.arange(0, n, 16), axis=1)
-            start = np.partition(cells, cells.shape[1] - k, axis=1)[:, cells.shape[1] - k] if cells.shape[1] > k else np.ones(e - s, dtype=np.int64)
-            chosen = bounds >= np.maximum(np.maximum(start, 1), self.limit(s, e))[:, None]
+            floor = start = np.maximum(self.limit(s, e), 1)
+            if (floor == 1).any():  # the k-th largest of some cells' largest bounds is reached by k rows, or groups, at least
+                cells = np.maximum.reduceat(bounds, self.r.starts if grouped else np.arange(0, n, 16), axis=1)
+                if cells.shape[1] > k:
+                    start = np.maximum(floor, np.partition(cells, cells.shape[1] - k, axis=1)[:, cells.shape[1] - k])
+            flat, line = bounds.ravel(), np.arange(s, e)
+            chosen = np.flatnonzero((bounds >= start.astype(bounds.dtype)[:, None]).ravel())
             if q.phrases:
-                counts, wanted = bounds & ((1 << BITS) - 1), q.n_terms[s:e, None]
-                chosen |= (bounds > 0) & ((counts >= wanted) | (np.diff(q.ptr)[s:e, None] >= 1 << BITS)) & (wanted > 0)
-            self.merge(s, *np.nonzero(chosen), k, grouped)
-            rest = (bounds >= np.maximum(self.limit(s, e), 1)[:, None]) & ~chosen
-            if rest.any():
-                self.merge(s, *np.nonzero(rest), k, grouped)
+                wanted = np.where(np.diff(q.ptr)[s:e] >= 1 << BITS, 1, q.n_terms[s:e])  # where the bits can't count, all rows
+                whole = np.flatnonzero(((bounds & ((1 << BITS) - 1)) >= np.where(q.n_terms[s:e] > 0, wanted, 1 << BITS).astype(bounds.dtype)[:, None]).ravel())
+                long = line[np.diff(q.ptr)[s:e] >= 1 << BITS] - s
+                whole = np.concatenate([whole, *(i * n + np.flatnonzero(bounds[i]) for i in long)])
+                extra = np.ceil(q.most_extra[s:e] * STEP + 1).astype(np.int64) << BITS
+                whole = whole[flat[whole] + extra[whole // n] >= floor[whole // n]]
+                chosen = _distinct(np.concatenate([chosen, whole]))
+            self.merge(s, chosen // n, chosen % n, k, grouped)
+            floor = np.maximum(self.limit(s, e), 1)
+            if (some := np.flatnonzero(floor < start)).size:  # rows between the bounds
+                rest = np.flatnonzero((bounds[some] >= floor[some].astype(bounds.dtype)[:, None]).ravel())
+                rest = np.setdiff1d(some[rest // n] * n + rest % n, chosen, assume_unique=True)
+                self.merge(s, rest // n, rest % n, k, grouped)
 
     def limit(self, s: int, e: int) -> np.ndarray:
         """Bounds below are those of rows that can't come among the best any more."""
-        return np.floor((self.q.least[s:e] - 2e-6) * STEP).astype(np.int64) << BITS
+        return np.minimum(np.floor((self.q.least[s:e] - 2e-6) * STEP).astype(np.int64) << BITS, np.iinfo(self.bound.dtype).max)
 
     def merge(self, s: int, qi: np.ndarray, di: np.ndarray, k: int, grouped: bool) -> None:
         if not len(qi):
@@ -327,7 +359,7 @@ def meet(weights: list[float], phrases: dict[int, float], k: int | None, grouped
             for i in range(b.num_rows):
                 met = None  # the one before is let go first
                 if b.column("block")[i].as_py() != block:
-                    block, rows = b.column("block")[i].as_py(), Rows(b, i, len(weights))
+                    block, rows = b.column("block")[i].as_py(), Rows(b, i, len(weights), grouped)
                 number = b.column("asked")[i].as_py()
                 if number not in asked:
                     asked[number] = Asked(b.column("queries")[i].as_buffer(), len(weights), phrases)
@@ -339,6 +371,8 @@ def meet(weights: list[float], phrases: dict[int, float], k: int | None, grouped
                         yield batch(asked[number].ids[qi], rows.keys[di], rows.groups[di], score)
                 else:
                     met.keep_best(k, grouped)
+        rows = met = b = None
+        _hand_back()
         for q in asked.values():
             for qi, score, _, keys, groups, _ in q.best.values():
                 yield batch(q.ids[qi], keys, groups, score)
