@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 #: The characters for which Python's str.isspace() holds, as a regex class body.
 #: Java's and RE2's \s know ASCII only, so it is spelled out for both engines.
@@ -60,18 +58,16 @@ def char_grams(text: Column, n: int = 3) -> Column:
 _BLANK = np.array([i for i in range(0x3001) if chr(i).isspace()], dtype=np.uint32)
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def piece_numbers(texts: pd.Series) -> pd.Series:
-    """The distinct 3-character pieces of texts without white space as numbers (21 bits a character, so no two pieces share one); empty for shorter texts, null for null."""
-
-    def of(text: str | None) -> np.ndarray | None:
-        if text is None:
-            return None
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        c = c[~np.isin(c, _BLANK)].astype(np.int64)
-        return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]) if len(c) > 2 else c[:0]
-
-    return texts.map(of)
+def pieces_of(text: str | None) -> np.ndarray:
+    """The distinct 3-character pieces of a text without white space as sorted numbers (21 bits a character, so no two pieces share one); empty for null and shorter texts."""
+    if not isinstance(text, str):
+        return np.empty(0, dtype=np.int64)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    c = c[~np.isin(c, _BLANK)].astype(np.int64)
+    if len(c) < 3:
+        return c[:0]
+    pieces = np.sort(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+    return pieces[np.diff(pieces, prepend=-1) != 0]
 
 
 def gram_overlap(query: Column, text: Column) -> Column:

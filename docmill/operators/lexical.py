@@ -27,6 +27,11 @@ def task_number(n: int) -> int:
     return TaskContext.get().partitionId() << 32 | n
 
 
+def shares(count: int, cores: int) -> int:
+    """Partitions of so many questions."""
+    return max(min(cores, -(-count // 64)), count // 16384, 1)
+
+
 def _order(x: str | None) -> tuple[bool, bytes]:
     return x is not None, (x or "").encode("utf-8", "surrogatepass")  # as Spark sorts: nulls first, then by bytes
 
@@ -378,3 +383,69 @@ def meet(weights: list[float], phrases: dict[int, float], k: int | None, grouped
                 yield batch(q.ids[qi], keys, groups, score)
 
     return work
+
+
+class Nearest:
+    """A block of questions' vectors with the nearest rows found so far, ``k`` each: of equal cosines those with the first keys."""
+
+    def __init__(self, ids: list[str | None], unit: np.ndarray, k: int):
+        self.ids, self.unit, self.k = ids, unit, k
+        self.least = np.full(len(ids), -np.inf)
+        self.best = [np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=object)]  # questions, cosines, keys
+
+    def meet(self, unit: np.ndarray, keys: np.ndarray, place: np.ndarray) -> None:
+        sim, k = self.unit @ unit.T, self.k
+        sim[np.isnan(sim)] = -np.inf
+        edge = self.least
+        if sim.shape[1] > k and np.isinf(edge).any():
+            edge = np.maximum(edge, np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k])
+        qi, di = np.nonzero((sim >= edge[:, None] - 2e-6) & (sim > -np.inf))  # a little more, as cosines are compared rounded
+        cos = np.round(sim[qi, di], 6)
+        by = np.lexsort((place[di], -cos, qi))
+        by = by[_rank(qi[by]) < k]
+        qi, cos, keys = [np.concatenate(x) for x in zip(self.best, (qi[by], cos[by], keys[di[by]]))]
+        by = np.lexsort((-cos, qi))
+        qi, cos, keys = qi[by], cos[by], keys[by]
+        last = np.flatnonzero(_rank(qi) == k - 1)
+        self.least[qi[last]] = cos[last]
+        stay = cos >= self.least[qi]
+        qi, cos, keys = qi[stay], cos[stay], keys[stay]
+        first = np.flatnonzero(np.diff(qi, prepend=-1) != 0)
+        size = np.diff(first, append=len(qi))
+        if (size > k).any():  # rows equal to the k-th: those with the first keys
+            gone = []
+            for a, n in zip(first[size > k], size[size > k]):
+                tied = [i for i in range(a, a + n) if cos[i] == cos[a + k - 1]]
+                gone += sorted(tied, key=lambda i: _order(keys[i]))[len(tied) - (n - k) :]
+            qi, cos, keys = np.delete(qi, gone), np.delete(cos, gone), np.delete(keys, gone)
+        self.best = [qi, cos, keys]
+
+
+def meet_vectors(dim: int, k: int, kinds: list[type], key: str):
+    """Pairs of blocks of vectors (of rows outside, r_, of questions within, q_) to (query_id, key, cos): the nearest ``k`` rows of each question."""
+
+    def unit(b: pa.RecordBatch, c: str, i: int, kind: type) -> np.ndarray:
+        v = np.frombuffer(b.column(c)[i].as_buffer(), dtype=kind).astype(np.float64).reshape(-1, dim)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, Nearest] = {}
+        block = None
+        for b in batches:
+            for i in range(b.num_rows):
+                if b.column("r_block")[i].as_py() != block:
+                    block, rows = b.column("r_block")[i].as_py(), unit(b, "r_vectors", i, kinds[1])
+                    keys = np.array([*b.column("r_keys")[i].as_py(), None], dtype=object)[:-1]
+                    place = np.empty(len(keys), dtype=np.int64)
+                    place[sorted(range(len(keys)), key=lambda i: _order(keys[i]))] = np.arange(len(keys))
+                number = b.column("q_block")[i].as_py()
+                if number not in asked:
+                    asked[number] = Nearest(b.column("q_keys")[i].as_py(), unit(b, "q_vectors", i, kinds[0]), k)
+                asked[number].meet(rows, keys, place)
+        rows = b = None
+        _hand_back()
+        for q in asked.values():
+            qi, cos, keys = q.best
+            yield pa.RecordBatch.from_arrays([pa.array([q.ids[x] for x in qi], pa.string()), pa.array(keys, pa.string()), pa.array(cos, pa.float64())], names=["query_id", key, "cos"])
+
+    return work

@@ -159,10 +159,10 @@ def _kept_sql(source: str) -> str:
     SELECT query_id, chunk_id, fused, final_rank FROM (SELECT query_id, chunk_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final_rank FROM fu JOIN kept USING (query_id, rank)) WHERE final_rank <= 5""")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Both legs of all questions, fused by rank, near duplicates of better hits left out, the best five."""
-    f = materialize(fused(spark, d).drop("legs").join(chunks(spark, d, "body"), "chunk_id"), "fused")
-    kept = retrieval.suppress_near(f, "chunk_id", "body").where("kept")
+    f = materialize(fused(spark, d).select("query_id", "chunk_id", "fused", "rank"), "fused")
+    flags = retrieval.suppress_near(f.join(chunks(spark, d, "body"), "chunk_id"), "chunk_id", "body", first=5)
     final = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return kept.withColumn("final_rank", final).where("final_rank <= 5").select("query_id", "chunk_id", "fused", "final_rank")
+    return f.join(flags.where("kept"), ["query_id", "rank"]).withColumn("final_rank", final).select("query_id", "chunk_id", "fused", "final_rank")
 
 
 HITS = """ho AS (SELECT DISTINCT ON (hit_id) hit_id, query_id, chunk_id, doc_id, fused, source['body'] AS body FROM hits),
