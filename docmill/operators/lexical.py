@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 #: BM25 constants, share of the other fields in the best one's score, places that the terms of a phrase may be apart.
 K1, B, TIE, SLOP = 1.2, 0.75, 0.3, 2
 #: Rows and terms at which a block is closed, questions of a block, and questions and pairs that are worked on at once.
-ROWS, TERMS, ASKED, AT_ONCE, PAIRS = 8192, 1_000_000, 4096, 32, 250_000
-#: A bound is an integer in steps of 1 / STEP, shifted by BITS bits; the bits below count the terms that a row has.
-STEP, BITS = 4096, 8
+ROWS, TERMS, ASKED, AT_ONCE, PAIRS = 8192, 1_000_000, 16384, 96, 250_000
+#: A bound is an integer in steps of 1 / STEP, shifted by BITS bits for each field with phrases; these bits below count the terms that a row has in the field.
+STEP, BITS = 64, 7
 
 
 def task_number(n: int) -> int:
@@ -148,7 +148,7 @@ class Asked:
         for f in range(fields):
             self.idf[f, self.terms] = each.field(f"idf_{f}").to_numpy(zero_copy_only=False)
         self.sum_idf = {f: np.array([self.idf[f, self.terms[a:b]].sum() for a, b in zip(self.ptr, self.ptr[1:])]) for f in phrases}
-        self.most_extra = (K1 + 1) * np.max([w * self.sum_idf[f] for f, w in phrases.items()], axis=0) if phrases else np.zeros(len(self.ids))
+        self.most_extra = {f: (K1 + 1) * w * self.sum_idf[f] for f, w in phrases.items()}
         self.n_terms = pc.fill_null(t["n_terms"], 0).to_numpy().astype(np.int64)
         number = {w: i for i, w in enumerate(self.words.to_pylist())}
         lists = [[[number[w] for w in one] for one in each or []] for each in t["lists"].to_pylist()]
@@ -157,6 +157,7 @@ class Asked:
             own = [each[k] if k < len(each) else [] for each in lists]
             size = np.array([len(x) for x in own], dtype=np.int64)
             self.lists.append((np.array([w for x in own for w in x], dtype=np.int64), np.cumsum(size) - size, size))
+        self.single = self.lists[1][2] == 0 if len(self.lists) > 1 else np.ones(len(self.ids), dtype=bool)
         self.best: dict[int, list[np.ndarray]] = {}
         self.least = np.zeros(len(self.ids))  # the k-th best score so far
 
@@ -172,7 +173,7 @@ class Meeting:
         self.q, self.r, self.avg, self.slop, n = asked, rows, avg, slop, rows.n
         at = pc.fill_null(pc.index_in(rows.words, value_set=asked.words), -1).to_numpy().astype(np.int32)
         own: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for f, codes in enumerate(rows.codes):
             term = at[codes]
             has = np.flatnonzero(term >= 0)
@@ -188,17 +189,24 @@ class Meeting:
             tf = np.diff(first, append=len(key))
             own.append((key[first], tf))
             if f in asked.phrases:
-                self.held[f] = (key[first], first, places)
+                self.held[f] = (key[first], first, np.append(first[1:], len(places)), places)
         self.keys = _distinct(np.concatenate([k for k, _ in own]))
         self.score = np.zeros((len(own), len(self.keys)))
+        self.tf = {f: np.zeros(len(self.keys), dtype=np.int32) for f in asked.phrases}
         for f, (key, tf) in enumerate(own):
             if len(key):
-                self.score[f, np.searchsorted(self.keys, key)] = weights[f] * asked.idf[f, key // n] * _norm(tf, rows.lens[f][key % n], avg[f])
+                at = np.searchsorted(self.keys, key)
+                self.score[f, at] = weights[f] * asked.idf[f, key // n] * _norm(tf, rows.lens[f][key % n], avg[f])
+                if f in self.tf:
+                    self.tf[f][at] = tf
         self.row = self.keys % n if n else self.keys
         self.ptr = np.searchsorted(self.keys, np.arange(len(asked.words) + 1) * n)
         # what a question's terms add up to in single fields is at most the sum of what each term gives over all fields
         most = TIE * self.score.sum(0) + (1 - TIE) * self.score.max(0, initial=0)
-        bound = (np.ceil(most * STEP + 1e-6).astype(np.int64) << BITS) + 1
+        self.shift = BITS * len(asked.phrases)
+        bound = np.ceil(most * STEP + 1e-6).astype(np.int64) << self.shift
+        for i, f in enumerate(asked.phrases):
+            bound += (self.score[f] > 0).astype(np.int64) << BITS * i
         term = np.append(bound, 0)
         largest = np.where(np.diff(self.ptr) > 0, np.maximum.reduceat(term, self.ptr[:-1]), 0)
         sums = np.concatenate([[0], np.cumsum(largest[asked.terms])])
@@ -240,6 +248,12 @@ class Meeting:
         extra = np.zeros(n)
         for f, weight in q.phrases.items():
             whole = np.flatnonzero((np.bincount(pair[self.score[f, at] > 0], minlength=n) == q.n_terms[qi]) & (q.n_terms[qi] > 0) & ~self.r.nulls[di])
+            if len(whole):
+                # a place of the rarest term is in slop + 1 windows at most, one of each width
+                ends = np.stack([np.searchsorted(pair, whole), np.searchsorted(pair, whole, "right")], axis=1)
+                rarest = np.minimum.reduceat(np.append(self.tf[f][at], 0), ends.ravel())[::2]
+                most = weight * q.sum_idf[f][qi[whole]] * _norm(rarest * sum(1 / (1 + i) for i in range(self.slop + 1)), self.r.lens[f][di[whole]], self.avg[f])
+                whole = whole[~q.single[qi[whole]] | (score[whole] + most >= q.least[qi[whole]] - 2e-6)]
             if len(whole):
                 freq = self.frequency(f, qi[whole], di[whole])
                 some, freq = whole[freq > 0], freq[freq > 0]
@@ -255,8 +269,7 @@ class Meeting:
         return most
 
     def _frequency(self, f: int, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, di: np.ndarray) -> np.ndarray:
-        keys, first, places = self.held[f]
-        ends = np.append(first[1:], len(places))
+        keys, first, ends, places = self.held[f]
         at, shift = [], int(size.max())
         for i in range(shift):
             pair = np.flatnonzero(size > i)
@@ -296,16 +309,17 @@ class Meeting:
                 cells = np.maximum.reduceat(bounds, self.r.starts if grouped else np.arange(0, n, 16), axis=1)
                 if cells.shape[1] > k:
                     start = np.maximum(floor, np.partition(cells, cells.shape[1] - k, axis=1)[:, cells.shape[1] - k])
-            flat, line = bounds.ravel(), np.arange(s, e)
+            flat = bounds.ravel()
             chosen = np.flatnonzero((bounds >= start.astype(bounds.dtype)[:, None]).ravel())
-            if q.phrases:
-                wanted = np.where(np.diff(q.ptr)[s:e] >= 1 << BITS, 1, q.n_terms[s:e])  # where the bits can't count, all rows
-                whole = np.flatnonzero(((bounds & ((1 << BITS) - 1)) >= np.where(q.n_terms[s:e] > 0, wanted, 1 << BITS).astype(bounds.dtype)[:, None]).ravel())
-                long = line[np.diff(q.ptr)[s:e] >= 1 << BITS] - s
-                whole = np.concatenate([whole, *(i * n + np.flatnonzero(bounds[i]) for i in long)])
-                extra = np.ceil(q.most_extra[s:e] * STEP + 1).astype(np.int64) << BITS
+            long = np.flatnonzero(np.diff(q.ptr)[s:e] >= 1 << BITS)  # where the bits can't count, all rows
+            for i, f in enumerate(q.phrases):
+                wanted = np.where(q.n_terms[s:e] > 0, np.minimum(q.n_terms[s:e], 1 << BITS), 1 << BITS).astype(bounds.dtype) << BITS * i
+                whole = np.flatnonzero(((bounds & (((1 << BITS) - 1) << BITS * i)) >= wanted[:, None]).ravel())
+                whole = np.concatenate([whole, *(j * n + np.flatnonzero(bounds[j]) for j in long)])
+                extra = np.ceil(q.most_extra[f][s:e] * STEP + 1).astype(np.int64) << self.shift
                 whole = whole[flat[whole] + extra[whole // n] >= floor[whole // n]]
-                chosen = _distinct(np.concatenate([chosen, whole]))
+                chosen = np.concatenate([chosen, whole])
+            chosen = _distinct(chosen) if q.phrases else chosen
             self.merge(s, chosen // n, chosen % n, k, grouped)
             floor = np.maximum(self.limit(s, e), 1)
             if (some := np.flatnonzero(floor < start)).size:  # rows between the bounds
@@ -315,7 +329,7 @@ class Meeting:
 
     def limit(self, s: int, e: int) -> np.ndarray:
         """Bounds below are those of rows that can't come among the best any more."""
-        return np.minimum(np.floor((self.q.least[s:e] - 2e-6) * STEP).astype(np.int64) << BITS, np.iinfo(self.bound.dtype).max)
+        return np.minimum(np.floor((self.q.least[s:e] - 2e-6) * STEP).astype(np.int64) << self.shift, np.iinfo(self.bound.dtype).max)
 
     def merge(self, s: int, qi: np.ndarray, di: np.ndarray, k: int, grouped: bool) -> None:
         if not len(qi):

@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docmill.functions import text as X
-from docmill.operators import retrieval
+from docmill.operators import lexical, retrieval
 
 FIELDS, PHRASES = {"title": 3.0, "text": 1.0}, {"title": 4.0, "text": 2.0}
 
@@ -77,3 +78,29 @@ def test_queries_without_rows_and_rows_without_terms(spark):
     assert retrieval.bm25(queries, rows.limit(0), "id", FIELDS, phrases=PHRASES, k=3).count() == 0
     assert retrieval.bm25(queries.limit(0), rows, "id", FIELDS, phrases=PHRASES, k=3).count() == 0
     assert retrieval.bm25(queries, rows.withColumn("title", F.lit(None).cast("string")).withColumn("text", F.lit("")), "id", FIELDS, k=3).count() == 0
+
+
+def test_a_share_of_questions_meets_a_block_of_rows_once(monkeypatch):
+    """Each pair of blocks carries the block of rows, so a batch of questions is one block."""
+    monkeypatch.setattr(lexical, "task_number", int)
+    asked = pa.RecordBatch.from_arrays([pa.array([f"q{i}" for i in range(9000)])], names=["query_id"])
+    assert len(list(lexical.pack_queries(iter([asked])))) == 1
+
+
+def test_phrases_are_looked_for_where_they_can_count(monkeypatch):
+    """Rows that hold the terms in different fields, and those whose phrase can't reach the best, have no places compared."""
+    monkeypatch.setattr(lexical, "task_number", int)
+    asked = pa.RecordBatch.from_pylist(
+        [{"query_id": "q", "asked": [{"term": t, "idf_0": 1.0, "idf_1": 1.0} for t in ("a", "b")], "lists": [["a", "b"]], "n_terms": 2}]
+    )
+    q = lexical.Asked(next(iter(lexical.pack_queries(iter([asked])))).column("queries")[0].as_buffer(), 2, {0: 4.0, 1: 2.0})
+    rows = [{"key": f"k{i:03d}", "by": None, "terms_0": ["a", "b"] if i < 5 else ["a"], "terms_1": ["b"] if i < 105 else ["a", *"xyz", "b"]} for i in range(200)]
+    kinds = pa.schema([("key", pa.string()), ("by", pa.string()), ("terms_0", pa.list_(pa.string())), ("terms_1", pa.list_(pa.string()))])
+    block = next(lexical.pack_rows(2)(iter([pa.RecordBatch.from_pylist(rows, schema=kinds)])))
+    compared, count = [], lexical.Meeting.frequency
+    monkeypatch.setattr(lexical.Meeting, "frequency", lambda self, f, qi, di: compared.extend(di) or count(self, f, qi, di))
+    for _ in range(2):
+        compared.clear()
+        lexical.Meeting(q, lexical.Rows(block, 0, 2, False), [3.0, 1.0], [1.0, 2.0]).keep_best(3, False)
+    assert sorted(compared) == [0, 1, 2, 3, 4]
+    assert set(q.best[0][3]) >= {"k000", "k001", "k002"} and not {"k005", "k199"} & set(q.best[0][3])
