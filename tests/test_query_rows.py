@@ -26,6 +26,7 @@ def moved(spark, name: str) -> int:
     "name, most",
     [
         ("harvested_rows", 80_000),
+        ("bootstrap_of_fusion", 110_000),
     ],
 )
 def test_rows_moved(spark, name, most):
