@@ -28,6 +28,7 @@ def moved(spark, name: str) -> int:
         ("harvested_rows", 80_000),
         ("harvest_counters", 80_000),
         ("lexical_documents", 2_000),
+        ("lexical_routing", 2_000),
         ("bootstrap_of_fusion", 110_000),
     ],
 )
