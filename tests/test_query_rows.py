@@ -29,6 +29,7 @@ def moved(spark, name: str) -> int:
         ("harvest_counters", 80_000),
         ("lexical_documents", 2_000),
         ("lexical_routing", 2_000),
+        ("routed_documents", 8_000),
         ("bootstrap_of_fusion", 110_000),
     ],
 )
