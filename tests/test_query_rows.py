@@ -27,6 +27,7 @@ def moved(spark, name: str) -> int:
     [
         ("harvested_rows", 80_000),
         ("harvest_counters", 80_000),
+        ("multi_query_search", 40_000),
         ("lexical_documents", 2_000),
         ("lexical_routing", 2_000),
         ("routed_documents", 8_000),
