@@ -104,3 +104,32 @@ def test_phrases_are_looked_for_where_they_can_count(monkeypatch):
         lexical.Meeting(q, lexical.Rows(block, 0, 2, False), [3.0, 1.0], [1.0, 2.0]).keep_best(3, False)
     assert sorted(compared) == [0, 1, 2, 3, 4]
     assert set(q.best[0][3]) >= {"k000", "k001", "k002"} and not {"k005", "k199"} & set(q.best[0][3])
+
+
+def test_pairs_of_blocks_reach_python_one_by_one(spark, monkeypatch):
+    kernel = lexical.meet
+
+    def counted(*args):
+        work = kernel(*args)
+
+        def one_by_one(batches):
+            def each():
+                for b in batches:
+                    assert b.num_rows == 1
+                    yield b
+
+            return work(each())
+
+        return one_by_one
+
+    monkeypatch.setattr(lexical, "meet", counted)
+    rows = spark.createDataFrame([(f"r{i:02d}", f"word{i % 5} common") for i in range(40)], "chunk_id string, title string").repartition(4)  # four blocks
+    asked = spark.createDataFrame([("q1", "word1 common"), ("q2", "word3")], "query_id string, query string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for before in (None, "500"):
+        if before:
+            spark.conf.set(name, before)
+        got = retrieval.bm25(asked, rows, "chunk_id", {"title": 1.0}, k=3)
+        assert retrieval.top(got, "chunk_id", 3).where("query_id = 'q2'").select("chunk_id").collect() == [("r03",), ("r08",), ("r13",)]
+        assert spark.conf.get(name, None) == before
+    spark.conf.unset(name)
