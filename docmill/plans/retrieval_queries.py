@@ -432,7 +432,7 @@ def _overlap_sql(text: str) -> str:
     SELECT query_id, chunk_id, round(coalesce(1.0 / (60 + br), 0), 6) AS bm25_rr, round(coalesce(1.0 / (60 + kr), 0), 6) AS knn_rr,
       round(coalesce(CASE WHEN stddev_pop(bs) OVER w > 0 THEN (bs - avg(bs) OVER w) / stddev_pop(bs) OVER w END, 0), 6) AS bm25_z, round(coalesce(ks, 0), 6) AS knn_cos,
       CASE WHEN br IS NOT NULL AND kr IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS both_legs, round(coalesce(least(depth, 4) / 4.0, 0), 6)::DOUBLE AS depth_norm, round(coalesce(least(token_len, 512) / 512.0, 0), 6)::DOUBLE AS len_norm,
-      round(count(*) OVER (PARTITION BY query_id, doc_id) / count(*) OVER w, 6) AS doc_share, {_overlap_sql('title')} AS title_gram, {_overlap_sql('substr(body, 1, 1200)')} AS body_gram FROM y WINDOW w AS (PARTITION BY query_id)""")
+      round(count(*) OVER (PARTITION BY query_id, doc_id) / count(*) OVER w, 6) AS doc_share, {_overlap_sql('title')} AS title_gram, {_overlap_sql('body')} AS body_gram FROM y WINDOW w AS (PARTITION BY query_id)""")
 def rank_features(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.rank_features(_ltr_hits(spark, d))
 
