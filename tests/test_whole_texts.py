@@ -54,3 +54,10 @@ def test_rank_features_and_their_sql_use_whole_bodies(spark, folders):
     assert got.keys() == want.keys()
     assert all(got[k][c] == pytest.approx(want[k][c], abs=2e-6) for k in got for c in evaluation.FEATURES)
     assert sum(r["body_gram"] > 0 for r in got.values()) > 5  # none if only the beginning is read
+
+
+def test_learned_rerank_uses_whole_bodies(spark, folders):
+    """A filler has the same effect ahead of a body as behind it."""
+    ahead, behind = (by_hit(registry.QUERIES["learned_rerank"](spark, str(f)).collect()) for f in folders)
+    assert ahead.keys() == behind.keys()
+    assert all(ahead[k]["ltr_score"] == pytest.approx(behind[k]["ltr_score"], abs=2e-6) and ahead[k]["label"] == behind[k]["label"] for k in ahead)
